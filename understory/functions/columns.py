@@ -25,7 +25,7 @@ def closed_levels(column: Column, levels: Sequence[str]) -> Column:
 
 def level_order(column: Column, levels: Sequence[str]) -> Column:
     """Position of a value in its domain, from 0; null (and strangers) come last."""
-    position = F.array_position(F.array(*[F.lit(v) for v in levels]), column)
+    position = F.array_position(F.lit(list(levels)), column)
     return F.coalesce(F.when(position > 0, position - 1), F.lit(len(levels))).cast("int")
 
 

@@ -8,16 +8,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from understory.functions import if_else, recode
+from understory.functions import if_else
 from understory.profiles import RecodePlots, SetValue
 
 
 def recode_plot_ids(frame: DataFrame, recodes: Iterable[RecodePlots]) -> DataFrame:
-    """Apply identifier recodes to the rows of their survey year."""
-    for fix in recodes:
-        fixed = recode(F.col("plot_id"), fix.mapping)
-        frame = frame.withColumn("plot_id", F.when(F.col("year") == fix.year, fixed).otherwise(F.col("plot_id")))
-    return frame
+    """Apply identifier recodes to the rows of their survey year.
+
+    The recodes are a short list from the profile, so they are joined as a
+    broadcast table. A chain of ``when`` would be copied into every filter on
+    the identifier, and the generated code would outgrow what the JVM compiles.
+    """
+    rows = [(fix.year, old, new) for fix in recodes for old, new in fix.mapping.items()]
+    if not rows:
+        return frame
+    if len({row[:2] for row in rows}) < len(rows):
+        raise ValueError("a plot is recoded twice in one year")
+    table = frame.sparkSession.createDataFrame(rows, "year string, plot_id string, _new_id string")
+    joined = frame.join(F.broadcast(table), ["year", "plot_id"], "left")
+    return joined.withColumn("plot_id", F.coalesce("_new_id", "plot_id")).select(*frame.columns)
 
 
 def matches(fix: SetValue) -> Column:

@@ -13,7 +13,6 @@ level is kept only where it was observed.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,32 +22,33 @@ from understory.functions import level_order
 Domains = Mapping[str, Sequence[str]]
 
 
+def _sql_array(values: Sequence) -> str:
+    return "array(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + ")"
+
+
 def cell_code(domains: Domains) -> Column:
+    """Code of a row's cell."""
     code = F.lit(0)
     for name, levels in domains.items():
         code = code * (len(levels) + 1) + level_order(F.col(name), levels)
     return code
 
 
-def domain_codes(domains: Domains) -> Column:
+def domain_codes(domains: Domains) -> list[int]:
     """Codes of all combinations of levels."""
-    codes = []
-    for combination in product(*[range(len(levels)) for levels in domains.values()]):
-        code = 0
-        for position, levels in zip(combination, domains.values()):
-            code = code * (len(levels) + 1) + position
-        codes.append(F.lit(code))
-    return F.array(*codes)
-
-
-def levels_of(code: Column, domains: Domains) -> list[Column]:
-    """Domain columns back from a code."""
-    columns = []
+    codes = [0]
+    for levels in domains.values():
+        codes = [code * (len(levels) + 1) + position for code in codes for position in range(len(levels))]
+    return codes
+
+
+def levels_of(code: str, domains: Domains) -> list[str]:
+    """Domain columns back from a code, as SQL."""
+    columns, divisor = [], 1
     for name, levels in reversed(domains.items()):
-        radix = F.lit(len(levels) + 1)
-        position = F.pmod(code, radix).cast("int")
-        columns.append(F.get(F.array(*[F.lit(v) for v in levels]), position).alias(name))
-        code = ((code - position) / radix).cast("int")
+        radix = len(levels) + 1
+        columns.append(f"get({_sql_array(levels)}, cast({code} div {divisor} % {radix} as int)) as {name}")
+        divisor *= radix
     return columns[::-1]
 
 
@@ -61,12 +61,10 @@ def nest_cells(cells: DataFrame, keys: Sequence[str], domains: Domains, measures
 def unnest_cells(nested: DataFrame, domains: Domains, measures: Sequence[str]) -> DataFrame:
     """All levels plus observed null levels, one row each; absent measures are 0."""
     others = [c for c in nested.columns if c != "cells"]
-    codes = F.array_union(domain_codes(domains), F.map_keys("cells"))
-    rows = F.transform(
-        codes, lambda code: F.struct(code.alias("_code"), F.try_element_at("cells", code).alias("_m"))
-    )
-    filled = [F.coalesce(F.col(f"_m.{m}"), F.lit(0)).alias(m) for m in measures]
-    return nested.select(*others, F.inline(rows)).select(*others, *levels_of(F.col("_code"), domains), *filled)
+    codes = f"array_union({_sql_array(domain_codes(domains))}, map_keys(cells))"
+    rows = f"inline(transform({codes}, c -> struct(c as _code, try_element_at(cells, c) as _m)))"
+    filled = [f"coalesce(_m.{m}, 0) as {m}" for m in measures]
+    return nested.selectExpr(*others, rows).selectExpr(*others, *levels_of("_code", domains), *filled)
 
 
 def densify(cells: DataFrame, keys: Sequence[str], domains: Domains, measures: Sequence[str]) -> DataFrame:

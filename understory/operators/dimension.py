@@ -14,9 +14,10 @@ from understory.profiles import Profile
 PAIRED_FLAG = "y2024_untrt_y2025_trt"
 
 
-def drop_unsurveyed(plots_2025: DataFrame) -> DataFrame:
-    """Plots of the later year without coordinates were never visited."""
-    return plots_2025.where(F.col("Easting").isNotNull())
+def drop_unsurveyed(plots: DataFrame, year: str = "2025") -> DataFrame:
+    """Plots of ``year`` without coordinates were never visited."""
+    unvisited = F.coalesce(F.col("year") == year, F.lit(False)) & F.col("Easting").isNull()
+    return plots.where(~unvisited)
 
 
 def median_elevation(plots: DataFrame) -> DataFrame:

@@ -9,12 +9,13 @@ would in a window over the key.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from understory.profiles import RecodePlots
 from understory.sources.tables import POSITION
 
 TREE_KEY = ("year", "plot_id", "tree_num")
@@ -50,9 +51,24 @@ def in_surveys(surveys: Iterable[tuple[str, str]]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, hits, F.lit(False)), F.lit(False))
 
 
+def source_surveys(
+    surveys: Iterable[tuple[str, str]], recodes: Iterable[RecodePlots]
+) -> list[tuple[str, str]]:
+    """The listed surveys by the identifiers they have before recoding."""
+    new_ids = {(fix.year, old): new for fix in recodes for old, new in fix.mapping.items()}
+    before = []
+    for year, plot in surveys:
+        before += [key for key, new in new_ids.items() if (key[0], new) == (year, plot)]
+        if (year, plot) not in new_ids:
+            before.append((year, plot))
+    return before
+
+
 def keep_later_surveys(
     trees: DataFrame,
     surveys: Iterable[tuple[str, str]],
+    correct: Callable[[DataFrame], DataFrame] = lambda frame: frame,
+    recodes: Iterable[RecodePlots] = (),
     keys: Sequence[str] = TREE_KEY,
     position: Sequence[str] = POSITION,
 ) -> DataFrame:
@@ -62,14 +78,17 @@ def keep_later_surveys(
     entered once is dropped, of a tree entered three times two rows stay. Year
     and plot are part of the key, so surveys do not affect each other and one
     pass serves any number of them; a survey listed twice is treated twice.
-    Only rows of listed surveys are shuffled.
+
+    ``correct`` is applied before trees are compared, and ``recodes`` are the
+    identifier changes it makes. Listed surveys are split off on the source
+    columns, so the split is a plain filter the scan can prune files by; only
+    their rows are shuffled.
     """
     surveys = list(surveys)
     repeated = [s for i, s in enumerate(surveys) if s in surveys[:i]]
-    listed = list(dict.fromkeys(surveys))
+    listed = source_surveys(dict.fromkeys(surveys), list(recodes))
     if not listed:
-        return trees
-    rest = trees.where(~in_surveys(listed))
-    kept = later_rows(trees.where(in_surveys(listed)), keys, position).select(*trees.columns)
-    result = rest.unionByName(kept)
-    return keep_later_surveys(result, repeated, keys, position) if repeated else result
+        return correct(trees)
+    kept = later_rows(correct(trees.where(in_surveys(listed))), keys, position)
+    result = correct(trees.where(~in_surveys(listed))).unionByName(kept)
+    return keep_later_surveys(result, repeated, keys=keys, position=position) if repeated else result

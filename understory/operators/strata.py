@@ -38,18 +38,15 @@ def stratum_means(
     stratum and cell, a few dozen rows per stratum, are shuffled. A null-level
     cell exists only where observed and is divided by its own count.
     """
-    no_cell = F.struct(*[F.lit(0.0).alias(m) for m in measures])
-    plot_entry = F.struct(F.lit(PLOT_CODE).alias("code"), no_cell.alias("m"))
-    cell_entries = F.transform(
-        F.map_entries("cells"),
-        lambda e: F.struct(
-            e.key.alias("code"),
-            F.struct(*[F.coalesce(e.value[m], F.lit(0)).cast("double").alias(m) for m in measures]).alias("m"),
-        ),
+    listed = ", ".join(f"coalesce(e.value.{m}, 0e0) as {m}" for m in measures)
+    nothing = ", ".join(f"0e0 as {m}" for m in measures)
+    entries = nested.selectExpr(
+        *strata,
+        f"inline(concat(array(struct({PLOT_CODE} as code, {nothing})),"
+        f" transform(map_entries(cells), e -> struct(e.key as code, {listed}))))",
     )
-    entries = nested.select(*strata, F.inline(F.concat(F.array(plot_entry), cell_entries)))
     sums = entries.groupBy(*strata, "code").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(f"m.{m}").alias(m) for m in measures]
+        F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in measures]
     )
     cell = F.struct("code", F.struct("n", *measures))
     by_stratum = sums.groupBy(*strata).agg(
@@ -57,11 +54,9 @@ def stratum_means(
         F.map_from_entries(F.collect_list(F.when(F.col("code") != PLOT_CODE, cell))).alias("cells"),
     ).where("n_plots is not null")  # without strata, no plots still make one group
     dense = unnest_cells(by_stratum, domains, ["n", *measures])
-    in_domain = F.lit(True)
-    for name in domains:
-        in_domain = in_domain & F.col(name).isNotNull()
-    plots = F.when(in_domain, F.col("n_plots")).otherwise(F.col("n"))
-    return dense.select(*domains, *strata, *[(F.col(m) / plots).alias(m) for m in measures])
+    in_domain = " and ".join(f"{name} is not null" for name in domains)
+    plots = f"(case when {in_domain} then n_plots else n end)"
+    return dense.selectExpr(*domains, *strata, *[f"{m} / {plots} as {m}" for m in measures])
 
 
 def totals(means: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:

@@ -61,10 +61,7 @@ class Inventory:
         """Surveyed plots with elevation."""
         plots = self._recoded("plots")
         if self.profile.paired:
-            later, earlier = F.col("year") == "2025", F.col("year") != "2025"
-            plots = dimension.drop_unsurveyed(plots.where(later)).unionByName(
-                plots.where(earlier | F.col("year").isNull())
-            )
+            plots = dimension.drop_unsurveyed(plots)
         return drop_geometry(attach_elevation(require_coordinates(plots), self._dem, self._cell))
 
     @cached_property
@@ -79,8 +76,12 @@ class Inventory:
     def trees(self) -> DataFrame:
         """Trees after corrections, without the first entry of resurveyed plots."""
         rules = self.profile.corrections
-        fixed = corrections.set_values(self._recoded("trees"), rules.tree_values)
-        return duplicates.keep_later_surveys(fixed, rules.keep_later)
+
+        def correct(frame: DataFrame) -> DataFrame:
+            recoded = corrections.recode_plot_ids(frame, rules.recodes)
+            return corrections.set_values(recoded, rules.tree_values)
+
+        return duplicates.keep_later_surveys(self._raw["trees"], rules.keep_later, correct, rules.recodes)
 
     @cached_property
     def measured_trees(self) -> DataFrame:
