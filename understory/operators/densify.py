@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from understory.functions import level_order
+from understory.operators.joins import PACKED, pack
 
 Domains = Mapping[str, Sequence[str]]
 
@@ -53,14 +54,18 @@ def levels_of(code: str, domains: Domains) -> list[str]:
 
 
 def nest_cells(cells: DataFrame, keys: Sequence[str], domains: Domains, measures: Sequence[str]) -> DataFrame:
-    """One row per key with its observed cells as ``cells: map<code, measures>``."""
+    """One row per key with its observed cells as ``cells: map<code, measures>``.
+
+    The packed key stays beside the keys for a join that follows.
+    """
     entry = F.struct(cell_code(domains).alias("code"), F.struct(*measures).alias("measures"))
-    return cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
+    nested = cells.groupBy(pack(keys)).agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
+    return nested.select(f"{PACKED}.*", PACKED, "cells")
 
 
 def unnest_cells(nested: DataFrame, domains: Domains, measures: Sequence[str]) -> DataFrame:
     """All levels plus observed null levels, one row each; absent measures are 0."""
-    others = [c for c in nested.columns if c != "cells"]
+    others = [c for c in nested.columns if c not in ("cells", PACKED)]
     codes = f"array_union({_sql_array(domain_codes(domains))}, map_keys(cells))"
     rows = f"inline(transform({codes}, c -> struct(c as _code, try_element_at(cells, c) as _m)))"
     filled = [f"coalesce(_m.{m}, 0) as {m}" for m in measures]

@@ -15,7 +15,7 @@ from math import pi, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from understory.operators.joins import null_safe_join
+from understory.operators.joins import join_group_statistics
 from understory.operators.quantiles import group_statistics
 
 POINTS = 512
@@ -51,13 +51,14 @@ def violin_density(
     )
     grid = stats.select(*by, "n", "min", "max", "bw", "low", "step")
     rows = frame.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    placed = null_safe_join(rows, F.broadcast(grid) if max_groups else grid, by, "inner").withColumn(
+    placed = join_group_statistics(rows, grid, by, "_v", max_groups).withColumn(
         "_at", (F.col("_v") - F.col("low")) / F.col("step")
     )
     left = F.floor("_at").cast("int")
     share = F.col("_at") - left
     shares = F.array(
-        F.struct(left.alias("bin"), (1 - share).alias("w")), F.struct((left + 1).alias("bin"), share.alias("w"))
+        F.struct(left.alias("bin"), ((1 - share) * F.col("_n")).alias("w")),
+        F.struct((left + 1).alias("bin"), (share * F.col("_n")).alias("w")),
     )
     carried = ["n", "min", "max", "bw", "low", "step"]
     bins = placed.select(*by, *carried, F.inline(shares)).groupBy(*by, "bin").agg(

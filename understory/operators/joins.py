@@ -3,22 +3,51 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Key columns packed into one struct. Inside a struct, null equals null, and a
+# table grouped by the struct is already partitioned for a join on it.
+PACKED = "_key"
+
+# Pieces a group is split into when it has to meet its statistics in a shuffle.
+SALTS = 200
+
+
+def pack(keys: Sequence[str]) -> Column:
+    return F.struct(*keys).alias(PACKED)
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi join on ``on`` with ``<=>``; the right copy of the keys is dropped.
+    """Equi join on ``on`` in which null keys match; keeps the left keys.
+
+    A left side that was grouped by :func:`pack` and still carries the packed
+    key is not shuffled again. No broadcast is asked for: the right side may
+    grow with the data. Spark still picks one where the size it measures allows
+    it, and splits skewed sort-merge partitions at run time.
+    """
+    if PACKED not in left.columns:
+        left = left.select("*", pack(on))
+    semi = how in ("left_semi", "left_anti")
+    columns = [pack(on)] if semi else [pack(on), *[c for c in right.columns if c not in on]]
+    return left.join(right.select(*columns), PACKED, how).drop(PACKED)
+
+
+def join_group_statistics(
+    rows: DataFrame, statistics: DataFrame, by: Sequence[str], value: str, max_groups: int | None
+) -> DataFrame:
+    """Give each value the statistics of its group; ``_n`` counts equal values.
 
-    No broadcast is asked for: the right side may grow with the data. Spark
-    still picks a broadcast where the size it measures allows one, and splits
-    skewed sort-merge partitions at run time.
+    With a proven bound on the groups, the statistics, one row per group, are
+    broadcast and the rows stay where they are. Otherwise equal values of a
+    group are counted first, so copies collapse before the shuffle, and a group
+    is spread over :data:`SALTS` pieces by value, so a group with a large share
+    of the rows is not one task.
     """
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
-    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in on])
-    joined = left.join(renamed, condition, how)
-    if how in ("left_semi", "left_anti"):
-        return joined
-    return joined.drop(*[f"_r_{k}" for k in on])
+    if max_groups is not None:
+        return null_safe_join(rows.withColumn("_n", F.lit(1).cast("long")), F.broadcast(statistics), by, "inner")
+    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    salted = counted.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    copies = statistics.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return null_safe_join(salted, copies, [*by, "_salt"], "inner").drop("_salt")

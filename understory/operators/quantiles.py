@@ -11,11 +11,12 @@ bracket fails the job, so the result is exact or absent, never approximate.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from understory.operators.joins import join_group_statistics
+
 # The sketch is read at this many evenly spaced probabilities.
 GRID = 1000
 # Rank error of the sketch is at most rows / ACCURACY.
@@ -66,8 +67,8 @@ def group_statistics(
     """Count, minimum, maximum, standard deviation and exact quantiles by group.
 
     ``quantiles`` maps output names to probabilities; nulls in ``value`` are
-    skipped. ``max_groups`` states a proven bound on the number of groups (a
-    closed domain) and lets the sketches, one row per group, be broadcast.
+    skipped. ``max_groups`` states a proven bound on the number of groups, such
+    as a closed domain (see :func:`join_group_statistics`).
     """
     rows = frame.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     probabilities = sorted(set(quantiles.values()))
@@ -75,11 +76,9 @@ def group_statistics(
         *by, F.struct(*STATS, F.array(*[_bracket(p) for p in probabilities]).alias("brackets")).alias("_s")
     )
     if by:
-        keyed = brackets.withColumnsRenamed({c: f"_s_{c}" for c in by})
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in by])
-        bracketed = rows.join(F.broadcast(keyed) if max_groups else keyed, same)
+        bracketed = join_group_statistics(rows, brackets, by, "_v", max_groups)
     else:
-        bracketed = rows.withColumn("_s", brackets.scalar())
+        bracketed = rows.select("*", F.lit(1).alias("_n"), brackets.scalar().alias("_s"))
 
     # Rows under a bracket collapse to one null value with a count, rows over
     # it go, rows inside collapse by value: all before the shuffle.
@@ -94,9 +93,9 @@ def group_statistics(
     )
     stats = [F.col(f"_s.{name}").alias(name) for name in STATS]
     counted = (
-        bracketed.select(*by, *stats, F.inline(inside))
+        bracketed.select(*by, "_n", *stats, F.inline(inside))
         .groupBy(*by, "p", "v")
-        .agg(F.count(F.lit(1)).alias("_rows"), *[F.max(c).alias(c) for c in ("low_rank", "high_rank", "weight", *STATS)])
+        .agg(F.sum("_n").alias("_rows"), *[F.max(c).alias(c) for c in ("low_rank", "high_rank", "weight", *STATS)])
     )
     upto = F.sum("_rows").over(
         Window.partitionBy(*by, "p").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)

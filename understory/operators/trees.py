@@ -39,7 +39,7 @@ def measure_trees(trees: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def sum_trees(measured: DataFrame, by: Sequence[str], profile: Profile) -> DataFrame:
+def sum_trees(measured: DataFrame, by: Sequence[str | Column], profile: Profile) -> DataFrame:
     """Additive sums by group, combined on the map side before the shuffle."""
     live, dead = F.col("status") == "L", F.col("status") == "D"
     large = F.col("dbh_cm") > profile.gt10in_cm
@@ -75,10 +75,8 @@ def plot_metrics(sums: DataFrame, profile: Profile) -> DataFrame:
         "tpa_dead_gt10cm": per_acre(F.col(profile.dead_gt10cm_source)),
         "tpa_dead_gt10in": per_acre(F.col("n_dead_gt10in")),
     }
-    counts = ["n_live_gt10cm", "n_live_gt10in", "n_dead_gt10in"]
-    if profile.dead_gt10cm_source == "n_dead_gt10cm":
-        counts.append("n_dead_gt10cm")
-    return sums.withColumns(metrics).select(*profile.keys, *counts, "ba_live_ft", "ba_dead_ft", *metrics)
+    unused = ["dbh2_live"] if profile.dead_gt10cm_source == "n_dead_gt10cm" else ["dbh2_live", "n_dead_gt10cm"]
+    return sums.withColumns(metrics).drop(*unused)
 
 
 def cell_metrics(sums: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -18,7 +18,7 @@ from understory.operators import corrections, dimension, duplicates, figures, fu
 from understory.operators.densify import nest_cells, unnest_cells
 from understory.operators.density import violin_density
 from understory.operators.dimension import PAIRED_FLAG
-from understory.operators.joins import null_safe_join
+from understory.operators.joins import PACKED, null_safe_join, pack
 from understory.operators.spatial import attach_elevation, drop_geometry, grid_cell, require_coordinates
 from understory.operators.trees import CELL_MEASURES, SPECIES, SPECIES_SIZE
 from understory.profiles import Profile
@@ -99,8 +99,8 @@ class Inventory:
 
     @cached_property
     def trees_plt(self) -> DataFrame:
-        sums = trees.sum_trees(self.measured_trees, self.keys, self.profile)
-        return self.with_plots(trees.plot_metrics(sums, self.profile))
+        sums = trees.sum_trees(self.measured_trees, [pack(self.keys)], self.profile)
+        return self.with_plots(trees.plot_metrics(sums.select(f"{PACKED}.*", "*"), self.profile))
 
     def _nested(self, domains: dict) -> DataFrame:
         """Observed cells per plot, one row each, with the plot's attributes.
