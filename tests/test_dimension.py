@@ -50,6 +50,7 @@ def test_median_split(spark, plots_of, trees_of, dem):
 def test_median_averages_the_middle_pair(spark):
     frame = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 10.0, None)], "elev_m double")
     assert dimension.median_elevation(frame).first()[0] == 2.5
+    assert dimension.median_elevation(frame.where("elev_m > 99")).first()[0] is None
 
 
 def test_plot_without_coordinates_fails(spark, plots_of, trees_of, dem):

@@ -72,7 +72,7 @@ def group_statistics(
     """
     rows = frame.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     probabilities = sorted(set(quantiles.values()))
-    brackets = _sketch(rows, by).select(
+    brackets = _sketch(rows, by).where("n > 0").select(
         *by, F.struct(*STATS, F.array(*[_bracket(p) for p in probabilities]).alias("brackets")).alias("_s")
     )
     if by:
@@ -105,7 +105,8 @@ def group_statistics(
     def value_at(rank: str, p: float) -> Column:
         hit = (F.col("p") == p) & (F.col(rank) < F.col("_upto")) & (F.col(rank) >= F.col("_upto") - F.col("_rows"))
         found = F.max(F.when(hit, F.col("v")))
-        return F.when(found.isNull(), F.raise_error(F.lit("rank outside its bracket"))).otherwise(found)
+        missed = found.isNull() & F.max("n").isNotNull()
+        return F.when(missed, F.raise_error(F.lit("rank outside its bracket"))).otherwise(found)
 
     outputs = []
     for name, p in quantiles.items():
