@@ -98,6 +98,15 @@ def test_stacked_bars(spark):
     assert got == [("s", "hardwood", 0.0, 3.0), ("s", "tanoak", 3.0, 5.0), ("s", "unknown", 5.0, 6.0), ("t", "pine", 0.0, 4.0)]
 
 
+def test_level_order_for_reading(spark):
+    from understory.operators.trees import SPECIES_SIZE
+
+    data = [("pine", "10-20"), ("unknown", None), ("unknown", "60-70"), ("tanoak", "04-10"), ("unknown", "04-10")]
+    frame = spark.createDataFrame(data, "species_group string, size_class string")
+    got = [tuple(r) for r in figures.in_level_order(frame, SPECIES_SIZE).collect()]
+    assert got == [("unknown", "04-10"), ("unknown", "60-70"), ("unknown", None), ("tanoak", "04-10"), ("pine", "10-20")]
+
+
 PLOTS = "plot_id string, cwhr_type string, cwhr_size string, cwhr_cover string, elev_class string"
 
 

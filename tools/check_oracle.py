@@ -18,7 +18,8 @@ from understory.catalog.queries import all_queries  # noqa: E402
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for path in sorted(Path(sf_dir).glob("*.parquet")):
-        con.execute(f"create view {path.stem} as select * from read_parquet('{path}')")
+        files = f"{path}/*.parquet" if path.is_dir() else path
+        con.execute(f"create view {path.stem} as select * from read_parquet('{files}')")
     return con
 
 
@@ -47,7 +48,7 @@ def compare(spark: SparkSession, con, name: str, sf_dir: str) -> tuple[bool, str
 def main() -> None:
     sf_dir, *names = sys.argv[1:]
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )

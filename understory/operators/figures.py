@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +37,12 @@ def reversed_panels(frame: DataFrame, panel: str, *then: str) -> DataFrame:
     return frame.orderBy(F.desc_nulls_last(panel), *[F.asc_nulls_last(c) for c in then])
 
 
+def in_level_order(frame: DataFrame, domains: Mapping[str, Sequence[str]], *then: str) -> DataFrame:
+    """Rows sorted for reading: by level, not by name, nulls last, then by other columns."""
+    by_level = [level_order(F.col(name), levels) for name, levels in domains.items()]
+    return frame.orderBy(*by_level, *[F.asc_nulls_last(c) for c in then])
+
+
 def measures_long(plots: DataFrame, ids: Sequence[str], measures: Sequence[str] = VIOLIN_MEASURES) -> DataFrame:
     """Plot metrics in long form, so one job serves all panels of a figure."""
     as_double = plots.select(*ids, *[F.col(m).cast("double").alias(m) for m in measures])
