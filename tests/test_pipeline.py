@@ -20,7 +20,7 @@ from understory.profiles import ONE_YEAR, Profile
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
-# One query of each kind; BENCH of all of them is tools/check_oracle.py.
+# One query of each kind. ALL_QUERIES=1 runs every query, as tools/check_oracle.py does.
 SAMPLE = [
     "plots_union_recode", "trees_union_recode", "dedupe_keep_later", "dup_report", "survey_fingerprint",
     "trees_without_plots", "plots_tile_keys", "plot_dimension", "plot_dimension_b", "trees_plt", "trees_plt_sp_size",
