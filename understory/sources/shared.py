@@ -1,27 +1,37 @@
-"""Cutting lineage through the shared folder of the cluster."""
+"""Cutting lineage: a table written to the cluster's shared folder and read back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from urllib.parse import urlparse
 
+from pyspark.sql import DataFrame, SparkSession
 
-def checkpoint_dir(frame: DataFrame) -> str | None:
-    """The reliable checkpoint folder the session is set up with, if any."""
-    spark = frame.sparkSession
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+SETTING = "spark.checkpoint.dir"
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Store ``frame`` in the session's checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir`` (or by ``setCheckpointDir``).
 
-    A lost executor then rereads files instead of repeating the tree scan.
-    Without a folder the frame is returned as it is: results do not depend on
-    the checkpoint, only the work that several readers of it would repeat.
+    Raises ValueError where none is set, or where it is on one machine's disk
+    while the master is a cluster: executors would write files others miss.
     """
-    folder = checkpoint_dir(frame)
+    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        return frame
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return frame.checkpoint(eager=True)
+        raise ValueError(f"set {SETTING} to a folder that all executors share")
+    if urlparse(folder).scheme == "file" and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{SETTING} is {folder}, a local folder; a cluster needs a shared one")
+    return folder.rstrip("/")
+
+
+def cut_lineage(frame: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``frame`` as Parquet to ``path``, or to a new folder in the shared one, and read it back.
+
+    A lost executor then rereads files instead of repeating what led to them;
+    later readers keep column pruning, filters on the files and statistics.
+    The rows are those of one run, also where the frame is not deterministic.
+    """
+    spark = frame.sparkSession
+    path = path or f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    frame.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
