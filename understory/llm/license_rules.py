@@ -53,9 +53,12 @@ expat | expat | 80 | expat licen[sc]e
 isc | isc | 70 | isc licen[sc]e
 isc | permission | 72 | permission to use copy modify and or distribute this software for any purpose
 bsd | bsd | 60 | bsd licen[sc]e
-bsd-2 | bsd | 80 | (?:simplified bsd|2 clause bsd|bsd 2 clause)(?: licen[sc]e)?
-bsd-3 | bsd | 80 | (?:new bsd|modified bsd|revised bsd|3 clause bsd|bsd 3 clause)(?: licen[sc]e)?
-bsd-4 | bsd | 80 | (?:original bsd|4 clause bsd|bsd 4 clause)(?: licen[sc]e)?
+bsd-2 | bsd | 80 | (?:simplified|2 clause) bsd(?: licen[sc]e)?
+bsd-2 | bsd | 80 | bsd 2 clause(?: licen[sc]e)?
+bsd-3 | bsd | 80 | (?:new|modified|revised|3 clause) bsd(?: licen[sc]e)?
+bsd-3 | bsd | 80 | bsd 3 clause(?: licen[sc]e)?
+bsd-4 | bsd | 80 | (?:original|4 clause) bsd(?: licen[sc]e)?
+bsd-4 | bsd | 80 | bsd 4 clause(?: licen[sc]e)?
 bsd | redistribution | 75 | redistribution and use in source and binary forms with or without modification are permitted
 bsd | redistributions | 60 | redistributions of source code must retain the above copyright notice
 bsd | redistributions | 60 | redistributions in binary form must reproduce the above copyright notice
@@ -182,15 +185,16 @@ no-ai | mining | 50 | text and data mining (?:is )?(?:prohibited|reserved)
 beerware | beerware | 70 | beerware licen[sc]e
 json | evil | 70 | shall be used for good not evil
 licence-notice | licensed | 20 | licensed under the terms of
-licence-notice | licence | 20 | see the licen[sc]e file
-licence-notice | license | 20 | see the licen[sc]e (?:file )?for (?:the specific language|details)
-licence-notice | license | 25 | may not use this file except in compliance with the licen[sc]e
-licence-notice | license | 15 | terms of this licen[sc]e
+licence-notice | licence | 20 | see the licence file
+licence-notice | license | 20 | see the license file
+licence-notice | license | 20 | see the license (?:file )?for (?:the specific language|details)
+licence-notice | license | 25 | may not use this file except in compliance with the license
+licence-notice | license | 15 | terms of this license
 warranty | warranty | 20 | without warranty of any kind
 warranty | warranties | 25 | without warranties or conditions of any kind
 warranty | warranty | 20 | provided as is without (?:any )?warranty
 warranty | merchantability | 20 | implied warranty of merchantability
-warranty | liable | 20 | in no event shall the (?:authors?|copyright holders?|contributors?)
+warranty | liable | 20 | in no event shall the (?:authors?|copyright holders?|contributors?) be liable
 """
 # Families by rule: Creative Commons by condition and version, and identifiers in SPDX tags.
 CC_CONDITIONS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")

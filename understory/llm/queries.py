@@ -15,6 +15,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from understory.llm.near_vectors import similar_vectors
+
+    return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from understory.llm.toxicity import held_out, toxicity_score, train_on
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_on(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out().alias("held_out"), toxicity_score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from understory.llm.html_text import extract_text
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", extract_text(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from understory.llm.mixing import mix_to_targets
+
+    return mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from understory.llm.probminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from understory.llm.containment import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from understory.llm.licenses import confidence, joined_labels, scan_licenses
 
@@ -49,6 +89,14 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from understory.llm.passages import substring_duplicates
+
+    found = substring_duplicates(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["start"], p["end"])), ",")
+    return found.withColumn("passages", spans)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,7 +109,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_licenses, op8_secrets, op10_token_counts)}
+    return {f.__name__: f for f in (
+        op1_embedding_near_dedup, op2_toxicity, op3_html_text, op4_mixing, op5_minhash_near_dedup,
+        op6_benchmark_containment, op7_licenses, op8_secrets, op9_substring_dedup, op10_token_counts,
+    )}
 
 
 def llm_oracles() -> dict[str, str]:
