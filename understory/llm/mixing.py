@@ -69,8 +69,9 @@ def fit_rates(docs: DataFrame, targets: dict[str, float], tokens: str = "n_token
     as there are domains, and nothing else leaves the executors. A document's rate
     after any step follows from the slopes of the steps so far, so no rate is stored.
     The totals are divided by their targets, so a small domain counts like a large one,
-    and residuals are measured in the metric in which one unit step is the longest safe
-    one; targets that rates can reach are reached whatever the metric.
+    and residuals are measured in the metric of the documents whose rates can move, in
+    which a unit step is the longest safe one; targets that rates can reach are reached
+    whatever the metric.
     """
     names = [d for d in targets if targets[d] > 0]
     goal = np.array([targets[d] for d in names], float)
@@ -78,9 +79,6 @@ def fit_rates(docs: DataFrame, targets: dict[str, float], tokens: str = "n_token
     scale = docs.agg(F.max(F.col(tokens)).cast("double")).first()[0] or 0.0
     if not names or scale <= 0:
         return F.lit(1.0), np.zeros(len(names))
-    gram = docs.agg(*[F.sum(a * b) for a in share for b in share]).first()
-    spread, axes = np.linalg.eigh(np.nan_to_num(np.array(gram, float).reshape(len(names), -1)))
-    metric = axes @ np.diag(1 / np.maximum(spread, max(spread[-1], 1e-300) * 1e-9)) @ axes.T
     slopes: list[list[float]] = []  # of each step, by domain
 
     def rate() -> Column:
@@ -96,14 +94,17 @@ def fit_rates(docs: DataFrame, targets: dict[str, float], tokens: str = "n_token
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(len(slopes) - 1)), F.lit(1.0), move)
 
-    for _ in range(STEPS):
-        current = docs.withColumn("_rate", rate())
-        totals = np.array(current.agg(*[F.sum(F.col("_rate") * s) for s in share]).first(), float)
+    moving = F.when(F.col("_rate") > 0, 1.0).otherwise(0.0)
+    sums = [F.sum(F.col("_rate") * x) for x in share] + [F.sum(moving * x * y) for x in share for y in share]
+    for step in range(STEPS + 1):
+        found = np.nan_to_num(np.array(docs.withColumn("_rate", rate()).agg(*sums).first(), float))
+        totals, gram = found[:len(names)], found[len(names):].reshape(len(names), -1)
         residual = totals - 1.0
-        if np.abs(residual).max() <= TOLERANCE:
+        if step == STEPS or np.abs(residual).max() <= TOLERANCE:
             break
+        spread, axes = np.linalg.eigh(gram)
+        metric = axes @ np.diag(1 / np.maximum(spread, max(spread[-1], 1e-300) * 1e-9)) @ axes.T
         slopes.append((metric @ residual).tolist())
-    totals = np.array(docs.withColumn("_rate", rate()).agg(*[F.sum(F.col("_rate") * s) for s in share]).first(), float)
     return rate(), totals * goal
 
 

@@ -24,11 +24,12 @@ from pyspark.sql import types as T
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 3000, 6000  # labelled documents to learn from, at most, by the order of a hash
 HELD_OUT = 5  # one in so many documents is never learned from
 WINDOW_WORDS = 8
-BASE_BYTES = 8192
+BASE_BYTES = 32_768
 DISTINCT_BYTES = 2048
 STRING_LENGTHS = range(5, 14)  # with the space before the word
 LEAST_SHARE = 0.02  # of toxic documents that a string of the toxic dictionary is in
 LEAST_LIFT = 10  # times as common in toxic documents as in ordinary ones
+LEAST_DEVIATION = 5  # standard deviations that the toxic count is above the expected one
 SAVINGS = range(-16, 16)  # bytes, beyond which savings count as these
 
 
@@ -55,12 +56,13 @@ def _strings(text: str, wanted: dict | None = None) -> set[str]:
 def distinct_strings(toxic: list[str], ordinary: list[str]) -> bytes:
     """What marks toxic documents, the most telling last, where a window finds it at the least cost."""
     counts = Counter(s for t in toxic for s in _strings(t))
-    counts = {s: c for s, c in counts.items() if c >= max(5, LEAST_SHARE * len(toxic))}
+    counts = {s: c for s, c in counts.items() if c >= max(4, LEAST_SHARE * len(toxic))}
     other = Counter(s for t in ordinary for s in _strings(t, counts))
     telling = []
     for s, c in counts.items():
         expected = (other[s] + 0.5) / len(ordinary) * len(toxic)
-        if c >= LEAST_LIFT * expected and (c - expected) > 4 * math.sqrt(expected + 1):
+        deviation = (c - expected) / math.sqrt(expected + 1)
+        if c >= LEAST_LIFT * expected and deviation > LEAST_DEVIATION:
             telling.append((c * len(s.encode("utf-8", "surrogatepass")), s))
     picked: list[str] = []
     size = 0
@@ -146,9 +148,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
-    """Half of either list makes the dictionaries, a quarter the evidence of savings, a quarter the curve."""
+    """Six tenths of either list make the dictionaries, two the evidence of savings, two the curve."""
     toxic, ordinary = list(dict.fromkeys(filter(None, toxic))), list(dict.fromkeys(filter(None, ordinary)))
-    cuts = [(x[: len(x) // 2], x[len(x) // 2: 3 * len(x) // 4], x[3 * len(x) // 4:]) for x in (toxic, ordinary)]
+    cuts = [(x[: len(x) * 6 // 10], x[len(x) * 6 // 10: len(x) * 8 // 10], x[len(x) * 8 // 10:]) for x in (toxic, ordinary)]
     (t1, t2, t3), (o1, o2, o3) = cuts
     if min(map(len, (t1, t2, t3, o1, o2, o3))) == 0:
         return Model(b"\x01", b"\x01", prior=prior)
