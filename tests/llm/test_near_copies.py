@@ -1,0 +1,251 @@
+"""Near copies, contained items and repeated passages against plain versions over all pairs."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from understory.llm import queries as Q
+from understory.llm.components import components
+from understory.llm.passages import chain_matches, minimizers
+from understory.llm.probminhash import prob_min_hash, probability_jaccard
+from understory.llm.words import hash_words, shingles
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+COLUMNS = "doc_id long, text string, lang string, node string, class_id string, seg string, item_id string"
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def edited(words, places):
+    return [f"x{i}" if i in places else w for i, w in enumerate(words)]
+
+
+A, B, LONG, ITEM = prose(1, 120), prose(2, 90), prose(3, 12_000), prose(4, 40)
+ODD = [
+    (10, " ".join(A)), (11, " ".join(A)), (12, " ".join(edited(A, {60}))), (13, " ".join(edited(A, {3, 60, 110}))),
+    (20, " ".join(B)), (21, "  ".join(B).upper() + "!!"), (22, " ".join(B + prose(5, 80))),
+    (30, None), (31, ""), (32, "one two"), (33, "One, two."), (34, "one two three"), (35, "!!!"), (36, "!!!"),
+    (40, " ".join(LONG)), (41, " ".join(LONG[:9000] + ITEM + LONG[9000:])), (42, "go " * 400), (43, "go " * 500),
+    (50, " ".join(prose(6, 30) + ITEM[:39] + ["other"] + prose(7, 30))), (51, " ".join(ITEM[:20])),
+    (60, " ".join(prose(8, 40) + A[20:100] + prose(9, 40))), (12, " ".join(edited(A, {60}))), (12, "a text of another kind entirely"),
+    (None, " ".join(A)), (None, None), (70, "é" * 10 + " " + " ".join(prose(10, 60))),
+]
+ITEMS = [(1, " ".join(ITEM)), (2, "one two"), (3, None), (4, ""), (5, " ".join(prose(11, 30))), (1, " ".join(ITEM)), (None, "one two")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("odd")
+    rows = [(i, t, "en", "a", "b", "c", "d") for i, t in ODD]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{path}/documents.parquet")
+    items = [(i, t, "e", 1) for i, t in ITEMS]
+    spark.createDataFrame(items, "item_id long, text string, doc_id string, n long").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("empty")
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def words_of(text):
+    return WORD.findall((text or "").lower())
+
+
+def texts(spark, folder, table="documents", key="doc_id"):
+    return [tuple(r) for r in spark.read.parquet(f"{folder}/{table}.parquet").select(key, "text").collect()]
+
+
+def counted(words):
+    return Counter(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+
+
+def plain_groups(rows):
+    """Smallest id of equal words, and of all reachable by links, over all pairs."""
+    rows = [(i, t) for i, t in rows if i is not None and t]
+    content = [tuple(words_of(t)) or t for _, t in rows]
+    smallest = {}
+    for (i, _), c in zip(rows, content, strict=True):
+        smallest[c] = min(i, smallest.get(c, i))
+    distinct = list(smallest)
+    sets = [counted(list(c)) if isinstance(c, tuple) else {} for c in distinct]
+    root = list(range(len(distinct)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(distinct)):
+        for j in range(i):
+            if sets[i] and sets[j] and sets[i].keys() & sets[j].keys() and probability_jaccard(sets[i], sets[j]) >= 0.8:
+                root[find(i)] = find(j)
+    group = defaultdict(list)
+    for i, c in enumerate(distinct):
+        group[find(i)].append(smallest[c])
+    return sorted((i, smallest[c], min(group[find(distinct.index(c))])) for (i, _), c in zip(rows, content, strict=True))
+
+
+@pytest.mark.parametrize("where", ["odd", SF])
+def test_near_copies(spark, odd, where):
+    folder = odd if where == "odd" else where
+    found = Q.op5_minhash_near_dedup(spark, folder).collect()
+    rows = texts(spark, folder)
+    assert len(found) == len(rows)
+    grouped = {i for i, t in rows if i is not None and t}
+    mine = sorted((r["doc_id"], r["class_id"], r["component_id"]) for r in found if r["doc_id"] in grouped)
+    assert mine == plain_groups(rows)
+    alone = [r for r in found if r["doc_id"] not in grouped]
+    assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in alone)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
+
+
+def test_blocks_of_one_group(spark, monkeypatch):
+    """A group larger than a block gives the same classes as all pairs do."""
+    from understory.llm import probminhash
+
+    monkeypatch.setattr(probminhash, "BLOCK_DOCS", 4)
+    base = prose(20, 100)
+    rng = random.Random(5)
+    rows = [(i, " ".join(edited(base, set(rng.sample(range(100), rng.randrange(4)))))) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"], r["class_id"], r["component_id"]) for r in probminhash.near_duplicates(frame).collect())
+    assert found == plain_groups(rows)
+
+
+def test_registers_estimate_probability_jaccard():
+    x = {i: 1 + i % 3 for i in range(200)}
+    y = {i: 1 + i % 2 for i in range(50, 250)}
+    k = 4096
+    e = np.array([*x, *y], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    owner = np.repeat([0, 1], [len(x), len(y)])
+    found = prob_min_hash(e, owner, np.array([*x.values(), *y.values()]), 2, k)
+    assert abs((found[0] == found[1]).mean() - probability_jaccard(x, y)) < 0.03
+    assert probability_jaccard({1: 1, 2: 1, 3: 1}, {2: 5, 3: 5, 4: 5}) == pytest.approx(0.5)
+
+
+@pytest.mark.parametrize("where", ["odd", SF])
+def test_contained_items(spark, odd, where):
+    folder = odd if where == "odd" else where
+    expected = {}
+    docs = defaultdict(set)
+    for i, t in texts(spark, folder):
+        if i is not None:
+            w = words_of(t)
+            docs[i] |= {tuple(w[k:k + n]) for n in range(1, 6) for k in range(len(w) - n + 1)}
+    for item, t in texts(spark, folder, "benchmark", "item_id"):
+        w = words_of(t)
+        n = min(5, len(w))
+        own = {tuple(w[k:k + n]) for k in range(len(w) - n + 1)} if w and item is not None else set()
+        for i, held in docs.items():
+            if own and len(own & held) >= 0.8 * len(own):
+                expected[i, item] = (len(own), len(own & held))
+    found = Q.op6_benchmark_containment(spark, folder).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["n_shingles"], r["n_found"]) for r in found} == expected
+    assert len(found) == len(expected) > 3
+
+
+def repeated(rows):
+    """For each row the words that are in a run of 50 that a text of other words has too."""
+    held = defaultdict(set)
+    for _, t in rows:
+        w = words_of(t)
+        for k in range(len(w) - 49):
+            held[tuple(w[k:k + 50])].add(tuple(w))
+    for i, t in rows:
+        w = words_of(t)
+        yield i, w, {p for k in range(len(w) - 49) if len(held[tuple(w[k:k + 50])]) > 1 for p in range(k, k + 50)}
+
+
+def covered(row):
+    return {p for span in filter(None, row["passages"].split(",")) for p in range(*map(int, span.split(":")))}
+
+
+@pytest.mark.parametrize("where", ["odd", SF])
+def test_passages(spark, odd, where):
+    folder = odd if where == "odd" else where
+    rows = [r for r in texts(spark, folder) if r[0] is not None]
+    found = Q.op9_substring_dedup(spark, folder).collect()
+    assert len(found) == len(texts(spark, folder))
+    by_id = defaultdict(list)
+    for r in found:
+        by_id[r["doc_id"]].append(r)
+        assert sum(b - a for a, b in (map(int, s.split(":")) for s in filter(None, r["passages"].split(",")))) == r["repeated_words"]
+    for i, words, need in repeated(rows):
+        assert any(need <= covered(r) for r in by_id[i])
+        assert any(covered(r) <= set(range(len(words))) for r in by_id[i])
+
+
+def test_fuzzy_passage_and_clean_documents(spark):
+    from understory.llm.passages import substring_duplicates
+
+    shared = prose(30, 100)
+    rows = [(1, prose(31, 50) + shared + prose(32, 50)), (2, prose(33, 20) + edited(shared, {30, 31, 64}) + prose(34, 9)),
+            (3, prose(35, 300)), (4, prose(36, 30) + shared[:45] + prose(37, 30))]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in substring_duplicates(frame).collect()}
+    assert [tuple(p) for p in found[1]["passages"]] == [(50, 150)] and found[1]["first_docs"] == found[2]["first_docs"]
+    assert [tuple(p) for p in found[2]["passages"]] == [(20, 120)]
+    assert found[3]["n_passages"] == found[4]["n_passages"] == 0
+
+
+def test_chains_go_up_on_both_sides():
+    straight = [(x, x + 100) for x in range(0, 60, 5)]
+    (xs, ys), *rest = chain_matches([*straight, (12, 5), (30, 400), (31, 90)])
+    assert xs == [x for x, _ in straight] and ys == [y for _, y in straight] and not rest
+    assert chain_matches([(0, 50), (10, 40), (20, 30)]) == []
+    assert len(chain_matches([(0, 0), (5, 5), (500, 500), (505, 505)])) == 2
+
+
+def test_every_window_has_a_seed():
+    words = hash_words([" ".join(prose(40, 300)), "a b c", " ".join(prose(41, 21)), None])
+    hashes, _, owner = shingles(words, 6)
+    at = set(minimizers(hashes, owner).tolist())
+    for i in range(len(hashes) - 15):
+        if owner[i] == owner[i + 15]:
+            window = range(i, i + 16)
+            assert min(window, key=lambda j: hashes[j]) in at
+    assert len(at) < len(hashes) / 4
+
+
+@pytest.mark.parametrize("query", [Q.op5_minhash_near_dedup, Q.op6_benchmark_containment, Q.op9_substring_dedup])
+def test_empty_tables(spark, empty, query):
+    assert query(spark, empty).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(200)] + [(300 + rng.randrange(100), 300 + rng.randrange(100)) for _ in range(80)]
+    edges += [(1000, 1000 + i) for i in range(300)] + [(None, 5), (7, 7)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert found == {x: find(x) for x in list(root)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_are_those_of_the_pattern():
+    rows = ["", None, "A b-c, d!", "ÉÀ x\ty\nz", "a" * 5000, "😀 ok", "x_y 1.5"]
+    words = hash_words(rows)
+    for i, t in enumerate(rows):
+        assert words.normal(i).decode().split() == words_of(t)
+    assert words.of(3)[1] == hash_words(["q x"]).of(0)[1]
