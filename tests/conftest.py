@@ -10,7 +10,7 @@ sys.path.insert(0, str(ROOT / "tools"))
 
 TREE_COLUMNS = (
     "year string, plot_id string, tree_num double, species_code string, status string, dbh_cm double,"
-    " src_file string, src_row long"
+    " src_row long"
 )
 PLOT_COLUMNS = (
     "year string, plot_id string, Sample string, treated string, Easting double, Northing double,"
@@ -38,7 +38,7 @@ def trees_of(spark):
     """Tree table from (year, plot, tree_num, species, status, dbh) rows, in list order."""
 
     def build(rows):
-        return spark.createDataFrame([(*row, "f", i) for i, row in enumerate(rows)], TREE_COLUMNS)
+        return spark.createDataFrame([(*row, i) for i, row in enumerate(rows)], TREE_COLUMNS)
 
     return build
 

@@ -70,7 +70,7 @@ def test_keep_later_surveys(trees_of):
         (None, None, 1.0, "x", "L", 51.0), ("2024", None, 1.0, "x", "L", 52.0),
     ]
     for surveys in ([("2024", "A")], [("2024", "A"), ("2024", "A")], [("2024", "A"), ("2025", "A")], []):
-        got = rows(duplicates.keep_later_surveys(trees_of(data), surveys).drop("src_file", "src_row"))
+        got = rows(duplicates.keep_later_surveys(trees_of(data), surveys).drop("src_row"))
         assert got == sorted(keep_later_by_hand(data, surveys), key=repr), surveys
 
 
@@ -79,7 +79,7 @@ def test_keep_later_with_identical_copies_and_a_hot_tree(trees_of):
     data = [("2024", "A", 7.0, "x", "L", 20.0)] * 200
     data += [("2024", rng.choice("AB"), float(rng.randrange(20)), "x", "L", 15.0) for _ in range(200)]
     rng.shuffle(data)
-    got = rows(duplicates.keep_later_surveys(trees_of(data), [("2024", "A")]).drop("src_file", "src_row"))
+    got = rows(duplicates.keep_later_surveys(trees_of(data), [("2024", "A")]).drop("src_row"))
     assert got == sorted(keep_later_by_hand(data, [("2024", "A")]), key=repr)
 
 

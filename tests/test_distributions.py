@@ -16,20 +16,23 @@ def by_hand(data):
     return {g: [float(np.quantile(v, p)) for p in PROBS.values()] for g, v in groups.items()}
 
 
-def check(spark, data, max_groups=None):
+def check(spark, data, closed=None):
     frame = spark.createDataFrame(data, "g string, v double").repartition(5)
-    got = quantiles.exact_quantiles(frame, ["g"], "v", PROBS, max_groups).collect()
+    got = quantiles.exact_quantiles(frame, ["g"], "v", PROBS, closed).collect()
     want = by_hand(data)
     assert {r.g for r in got} == set(want)
     for r in got:
         assert [r[name] for name in PROBS] == pytest.approx(want[r.g], rel=1e-12, abs=1e-12), r.g
 
 
-@pytest.mark.parametrize("grid,accuracy", [(1000, 20000), (20, 100)])
-def test_quantiles_against_numpy(spark, monkeypatch, grid, accuracy):
+GROUPS = ["even", "heavy", "ties", "one third", "single", "pair", "nulls"]
+
+
+@pytest.mark.parametrize("accuracy", [100_000, 500])
+def test_quantiles_against_numpy(spark, monkeypatch, accuracy):
     """The coarse sketch makes brackets real: most rows fall outside them."""
-    monkeypatch.setattr(quantiles, "GRID", grid)
     monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    monkeypatch.setattr(quantiles, "REACH", (2 / accuracy, *[d for d in (2e-3, 2e-2, 0.2) if d > 2 / accuracy]))
     rng = np.random.default_rng(5)
     data = [("even", float(v)) for v in rng.uniform(0, 1, 6001)]
     data += [("heavy", float(v)) for v in np.exp(rng.normal(0, 6, 6000))]
@@ -38,19 +41,30 @@ def test_quantiles_against_numpy(spark, monkeypatch, grid, accuracy):
     data += [(None, float(v)) for v in rng.normal(0, 1, 17)]
     data += [("single", 3.0), ("pair", 1.0), ("pair", 2.0), ("nulls", None), ("even", None)]
     check(spark, data)
-    check(spark, data, max_groups=10)
+    check(spark, data, closed={"g": GROUPS})
+
+
+def rows_to_order(spark, n):
+    frame = spark.range(n).select(F.lit("a").alias("g"), F.rand(3).alias("v"))
+    sketch = quantiles._sketch(frame.withColumnRenamed("v", "_v"), ["g"], [0.5])
+    b = sketch.select(quantiles._bracket(0, 0.5).alias("b")).first().b
+    return frame.where((F.col("v") >= b.low) & (F.col("v") <= b.high)).count()
+
+
+def test_brackets_do_not_grow_with_the_group(spark):
+    """Within the sketch's error a hundred times the rows leave about as many to order."""
+    few, many = rows_to_order(spark, 2_000), rows_to_order(spark, 200_000)
+    assert 0 < many < 100 and many <= 5 * few
 
 
-def test_brackets_leave_most_rows_out(spark):
-    frame = spark.range(200000).select(F.lit("a").alias("g"), F.rand(3).alias("v"))
-    sketch = quantiles._sketch(frame.withColumnRenamed("v", "_v"), ["g"])
-    b = sketch.select(quantiles._bracket(0.5).alias("b")).first().b
-    inside = frame.where((F.col("v") >= b.low) & (F.col("v") <= b.high)).count()
-    assert 0 < inside < 2000
+def test_closed_domain_names_every_column(spark):
+    frame = spark.createDataFrame([("a", "x", 1.0)], "g string, h string, v double")
+    with pytest.raises(ValueError, match="closed domain"):
+        quantiles.exact_quantiles(frame, ["g", "h"], "v", {"m": 0.5}, {"g": ["a"]})
 
 
 def test_missed_rank_fails_the_job(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "_bracket", lambda p: F.struct(
+    monkeypatch.setattr(quantiles, "_bracket", lambda place, p: F.struct(
         F.lit(p).alias("p"), F.lit(0).alias("low_rank"), F.lit(1).alias("high_rank"), F.lit(0.5).alias("weight"),
         F.lit(50.0).alias("low"), F.lit(60.0).alias("high")))
     frame = spark.range(100).select(F.col("id").cast("double").alias("v"))

@@ -4,6 +4,7 @@ from pyspark.sql import types as T
 
 from tests.conftest import rows
 from understory.sources import schemas
+from understory.sources import shared
 from understory.sources.shared import cut_lineage
 from understory.sources.tables import bind_surveys, check_types, read_table, write_tables
 
@@ -21,10 +22,9 @@ def tree_files(spark, tmp_path):
 
 def test_positions_follow_file_order_over_several_files(spark, tree_files):
     trees = read_table(spark, tree_files, schemas.TREES, year="2024", with_position=True)
-    assert trees.select("src_file").distinct().count() == 4
-    ordered = trees.orderBy("src_file", "src_row").select("tree_num").collect()
+    ordered = trees.orderBy("src_row").select("tree_num").collect()
     assert [r[0] for r in ordered] == [float(i) for i in range(40)]
-    assert trees.select("src_file", "src_row").distinct().count() == 40
+    assert trees.select("src_row").distinct().count() == 40
 
 
 def test_year_literal_prunes_the_other_survey(spark, tree_files):
@@ -38,7 +38,7 @@ def test_year_literal_prunes_the_other_survey(spark, tree_files):
 
 def test_csv_with_exporter_positions(spark, tmp_path):
     path = tmp_path / "t.csv"
-    path.write_text("plot_id,tree_num,species_code,status,dbh_cm,src_file,src_row\nA,1,PSME,L,20.5,x,0\nA,,,,,x,1\n")
+    path.write_text("plot_id,tree_num,species_code,status,dbh_cm,src_row\nA,1,PSME,L,20.5,0\nA,,,,,1\n")
     trees = read_table(spark, str(path), schemas.TREES, year="2024", fmt="csv", with_position=True, header=True)
     assert rows(trees, "plot_id", "tree_num", "dbh_cm", "src_row") == [("A", 1.0, 20.5, 0), ("A", None, None, 1)]
 
@@ -68,7 +68,24 @@ def test_write_and_reread(spark, tmp_path):
 def test_lineage_is_cut_in_the_session_folder(spark):
     frame = cut_lineage(spark.range(10).selectExpr("id * 2 as x"))
     assert "Range" not in frame._jdf.queryExecution().optimizedPlan().toString()
-    assert frame.agg(F.sum("x")).first()[0] == 90
+    assert frame.agg(F.sum("x")).first()[0] == 90 and frame.inputFiles()
+
+
+def test_lineage_needs_a_shared_folder(spark, tmp_path, monkeypatch):
+    frame = spark.range(3)
+    assert cut_lineage(frame, str(tmp_path / "given")).count() == 3
+    folder = spark.conf.get("spark.checkpoint.dir")
+    monkeypatch.setattr(shared, "SETTING", "spark.checkpoint.none")
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "yarn"))
+    with pytest.raises(ValueError, match="set spark.checkpoint.none"):
+        cut_lineage(frame)
+    monkeypatch.setattr(shared, "SETTING", "spark.checkpoint.dir")
+    assert shared.shared_folder(spark) == folder
+    monkeypatch.setattr(shared, "SETTING", "spark.checkpoint.file")
+    spark.conf.set("spark.checkpoint.file", "file:///tmp/x")
+    with pytest.raises(ValueError, match="a cluster needs a shared one"):
+        cut_lineage(frame)
 
 
 def test_schema_types():

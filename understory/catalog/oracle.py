@@ -93,16 +93,19 @@ def base_tables(two_year: bool) -> dict[str, str]:
     )
     if two_year:
         t["raw_plots"] = (
-            f"select year, {_named(inputs.PLOTS)}, {inputs.TREATED} as treated, {inputs.EASTING_BY_YEAR} as Easting"
-            " from (select s.*, y.year from supplier s cross join (values ('2024'), ('2025')) y(year))"
+            f"select year, {_named(inputs.PLOTS)}, {_named(inputs.OTHER_COLUMNS)}, suffix,"
+            f" {inputs.TREATED} as treated, {inputs.EASTING_BY_YEAR} as Easting"
+            " from (select s.*, y.year, '' as suffix from supplier s cross join (values ('2024'), ('2025')) y(year)"
+            f" union all select s.*, '2024', '{inputs.BARE_SUFFIX}' from supplier s where {inputs.BARE})"
             f" where {inputs.VISITED}"
         )
         t["raw_trees"] = (
             f"select {inputs.TREE_YEAR} as year, {_named(inputs.TREES)}, row_number() over () as src_row from lineitem"
         )
         t["raw_fuels"] = f"select {inputs.FUEL_YEAR} as year, {_named(inputs.FUELS)} from events"
+        t["all_plots"] = "select * exclude (suffix) replace (concat(plot_id, suffix) as plot_id) from raw_plots"
         t["plots0"] = (
-            f"select * replace ({fixed_id}) from raw_plots where year = '2024' or Easting is not null"
+            f"select * replace ({fixed_id}) from all_plots where year = '2024' or Easting is not null"
         )
         t["recoded_trees"] = f"select * replace ({fixed_id}) from raw_trees"
         t["dbh_fixed"] = (
@@ -324,7 +327,24 @@ from (
           e - {b1!r} * cos(2 * x) * sinh(2 * e) - {b2!r} * cos(4 * x) * sinh(4 * e)
             - {b3!r} * cos(6 * x) * sinh(6 * e) as eta
         from (select year, plot_id, Northing / {radius!r} as x, (Easting - 500000e0) / {radius!r} as e
-              from raw_plots where Easting is not null)))))"""
+              from all_plots where Easting is not null)))))"""
+
+
+def _tile_elevation() -> str:
+    x0, y0 = inputs.PIXEL_ORIGIN
+    inside = f"gx between {x0} and {x0 + inputs.PIXEL_SIDE - 1} and gy between {y0} and {y0 + inputs.PIXEL_SIDE - 1}"
+    return (
+        f"select *, case when {inside} then {inputs.TILE_ELEVATION} end as elev_m from (select *,"
+        f" tile_x * 256 + pixel_x as gx, tile_y * 256 + pixel_y as gy from ({_tile_keys()}))"
+    )
+
+
+def _panels(source: str) -> str:
+    """Panels numbered from the last, in each year."""
+    return (
+        "select *, dense_rank() over (partition by year order by trt_project desc nulls last) as panel_rank"
+        f" from ({source})"
+    )
 
 
 def _count(source: str, name: str = "n", by: str = "year, plot_id") -> str:
@@ -346,7 +366,7 @@ PAIRED_SIZE = "trees_sp_size_y2024untrt_y2025trt"
 def bodies() -> dict[str, str]:
     """The last select of each query over the two-year (or ``_b``) subqueries."""
     q = {
-        "plots_union_recode": _count("plots0"),
+        "plots_union_recode": "select * replace (case when year = '2025' then treated end as treated) from plots0",
         "trees_union_recode": _count("recoded_trees"),
         "fuels_union_recode": _count("fuels"),
         "tree_corrections": (
@@ -359,14 +379,19 @@ def bodies() -> dict[str, str]:
             " as again from trees) where again > 1"
         ),
         "survey_fingerprint": (
-            "select case when year = '2025' then '2025' when occurrence > 1 then '2024b' else '2024a' end"
+            "select *, row_number() over (partition by plot_year order by ba desc nulls last, species_code nulls last)"
+            " as row_rank from (select case when year = '2025' then '2025' when occurrence > 1 then '2024b' else '2024a' end"
             " as plot_year, species_code, case when count(dbh_cm) = count(*) then"
             " sum(pi() * power(dbh_cm / 20, 2)) end as ba"
-            f" from numbered_trees where plot_id = '{inputs.FINGERPRINT_PLOT}' group by all"
+            f" from numbered_trees where plot_id = '{inputs.FINGERPRINT_PLOT}' group by all)"
         ),
         "plots_without_trees": "select year, plot_id from located except select year, plot_id from trees",
         "trees_without_plots": "select year, plot_id from trees except select year, plot_id from located",
-        "duplicate_plots": f"select * from ({_count('located')}) where n > 1",
+        "duplicate_plots": (
+            "select year, plot_id, count(*) as n from (select * replace (case when year = '2024' and plot_id = 'TR_P2_2'"
+            " then 'TR_P3_3' else plot_id end as plot_id) from all_plots where year = '2024' or Easting is not null)"
+            " group by year, plot_id having count(*) > 1"
+        ),
         "duplicate_trees": f"select * from ({_count('trees', by='year, plot_id, tree_num')}) where n > 1",
         "oversize_trees": _count("(select * from trees where dbh_cm / 2.54e0 > 70)"),
         "species_freq": (
@@ -376,6 +401,12 @@ def bodies() -> dict[str, str]:
         "tree_metrics": "select * from measured",
         "plots_elev": "select * from located",
         "plots_tile_keys": _tile_keys(),
+        "plots_elev_tiles": _tile_elevation(),
+        "ingest_trees_plt": "select * from trees_plt",
+        "trees_sp_size_ranked": (
+            "select m.*, row_number() over (partition by m.species_group order by z.ord nulls last) as row_rank"
+            " from trees_sp_size m left join sizes z on m.size_class = z.level"
+        ),
         "elev_median": "select median(elev_m) as elev_median from located",
         "plot_dimension": "select * from dim",
         "paired_plots": "select * from paired",
@@ -395,11 +426,11 @@ def bodies() -> dict[str, str]:
             "select *, round_even(total_tpa, 0) as label from (select trt_project, year, size_class,"
             f" coalesce(sum(tpa_live_gt10cm), 0e0) as total_tpa from {PAIRED_SIZE} group by all)"
         ),
-        "bar_totals_tpa": (
+        "bar_totals_tpa": _panels(
             "select *, round_even(total_tpa, 0) as label from (select year, trt_project,"
             " coalesce(sum(tpa_live_gt10cm), 0e0) as total_tpa from trees_sp_trtuntrt group by all)"
         ),
-        "bar_totals_ba": (
+        "bar_totals_ba": _panels(
             "select *, round_even(total_ba, 0) as label from (select year, trt_project,"
             " coalesce(sum(ba_live_ft), 0e0) as total_ba from trees_sp_trtuntrt group by all)"
         ),
@@ -408,8 +439,10 @@ def bodies() -> dict[str, str]:
             f" from {PAIRED_SIZE} group by all",
             "size_class", ["trt_project", "year"], "tpa_live_gt10cm",
         ),
-        "stack_paired_tpa": _stack("select * from trees_sp_trtuntrt", "year", ["trt_project"], "tpa_live_gt10cm"),
-        "stack_paired_ba": _stack("select * from trees_sp_trtuntrt", "year", ["trt_project"], "ba_live_ft"),
+        "stack_paired_tpa": _panels(
+            _stack("select * from trees_sp_trtuntrt", "year", ["trt_project"], "tpa_live_gt10cm")),
+        "stack_paired_ba": _panels(
+            _stack("select * from trees_sp_trtuntrt", "year", ["trt_project"], "ba_live_ft")),
         "box_elev": _box("elev_long", "measure, elev_class", "value"),
         "box_paired": _box("paired_long", "measure, trt_project, year", "value"),
         "box_fuels": _box("fuels_long", "fuel_class, elev_class", "mass_tons_ac"),

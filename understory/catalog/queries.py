@@ -16,7 +16,7 @@ from understory import fixed_values as fv
 from understory.catalog import inputs
 from understory.operators import checks, corrections, dimension, duplicates, figures, spatial, strata
 from understory.plans.inventory import Inventory
-from understory.profiles import RecodePlots
+from understory.profiles import Profile, RecodePlots
 from understory.sources import schemas
 from understory.sources.tables import bind_surveys
 
@@ -41,14 +41,14 @@ TILE = ["tile_x", "tile_y", "pixel_x", "pixel_y"]
 # query: (columns as they are, columns rounded to six places)
 SHAPES: dict[str, tuple[list[str], list[str]]] = {
     # ingest and corrections
-    "plots_union_recode": (["year", "plot_id", "n"], []),
+    "plots_union_recode": (["year", "plot_id", "treated", "cavities_large", "cavities_small", "Observer_other"], []),
     "trees_union_recode": (["year", "plot_id", "n"], []),
     "fuels_union_recode": (["year", "plot_id", "n"], []),
     "tree_corrections": (["year", "plot_id", "tree_num", "dbh_cm"], []),
     "dedupe_keep_later": (["year", "plot_id", "n_rows"], []),
     # checks
     "dup_report": (["year", "plot_id", "tree_num", "species_code", "status", "dbh_cm"], []),
-    "survey_fingerprint": (["plot_year", "species_code"], ["ba"]),
+    "survey_fingerprint": (["plot_year", "species_code", "row_rank"], ["ba"]),
     "plots_without_trees": (["year", "plot_id"], []),
     "trees_without_plots": (["year", "plot_id"], []),
     "duplicate_plots": (["year", "plot_id", "n"], []),
@@ -59,12 +59,14 @@ SHAPES: dict[str, tuple[list[str], list[str]]] = {
     "tree_metrics": (["year", "plot_id", "tree_num", "species_code", "status", SP, SIZE], ["dbh_in", "ba_ft"]),
     "plots_elev": (["year", "plot_id"], ["elev_m"]),
     "plots_tile_keys": (["year", "plot_id", *TILE], ["lon", "lat"]),
+    "plots_elev_tiles": (["year", "plot_id", *TILE], ["elev_m"]),
     "elev_median": ([], ["elev_median"]),
     "plot_dimension": (["year", "plot_id", *DIM_TWO], ["elev_m"]),
     "plot_dimension_b": (["plot_id", *DIM_ONE], ["elev_m"]),
     "paired_plots": (["plot_id"], []),
     # plot-level tables
     "trees_plt": (["year", "plot_id", *COUNTS, "n_dead_gt10cm", *DIM_TWO], PLOT_NUMBERS),
+    "ingest_trees_plt": (["year", "plot_id", *COUNTS, "n_dead_gt10cm", *DIM_TWO], PLOT_NUMBERS),
     "trees_plt_sp": (["year", "plot_id", SP, *COUNTS, *DIM_TWO], CELL_NUMBERS),
     "trees_plt_sp_size": (["year", "plot_id", SP, SIZE, *COUNTS, *DIM_TWO], CELL_NUMBERS),
     "trees_plt_b": (["plot_id", *COUNTS, *DIM_ONE], PLOT_NUMBERS),
@@ -78,6 +80,7 @@ SHAPES: dict[str, tuple[list[str], list[str]]] = {
     "trees_sp_trtctl": ([SP, "trt_ctl"], MEANS),
     "trees_sp_trtuntrt": ([SP, "year", "trt_project"], MEANS),
     "trees_sp_size": ([SP, SIZE], MEANS),
+    "trees_sp_size_ranked": ([SP, SIZE, "row_rank"], ["tpa_live_gt10cm"]),
     "trees_sp_size_elev": ([SP, SIZE, "elev_class"], MEANS),
     "trees_sp_size_trtctl": ([SP, SIZE, "trt_ctl"], MEANS),
     "trees_sp_size_y2024untrt_y2025trt": ([SP, SIZE, "treated_simp", "year", "trt_project"], MEANS),
@@ -97,8 +100,8 @@ SHAPES: dict[str, tuple[list[str], list[str]]] = {
     "fuels_long_b": (["plot_id", "elev_class", "trt_ctl", "fuel_class"], ["mass_tons_ac"]),
     # bars
     "bar_totals_size": (["trt_project", "year", SIZE, "label"], ["total_tpa"]),
-    "bar_totals_tpa": (["year", "trt_project", "label"], ["total_tpa"]),
-    "bar_totals_ba": (["year", "trt_project", "label"], ["total_ba"]),
+    "bar_totals_tpa": (["year", "trt_project", "label", "panel_rank"], ["total_tpa"]),
+    "bar_totals_ba": (["year", "trt_project", "label", "panel_rank"], ["total_ba"]),
     "stack_size": ([SIZE, SP], ENDS),
     "stack_size_elev": (["elev_class", SIZE, SP], ENDS),
     "stack_size_trtctl": (["trt_ctl", SIZE, SP], ENDS),
@@ -107,8 +110,8 @@ SHAPES: dict[str, tuple[list[str], list[str]]] = {
     "stack_trtctl_tpa": (["trt_ctl", SP], ENDS),
     "stack_trtctl_ba": (["trt_ctl", SP], ENDS),
     "stack_paired_size": (["trt_project", "year", SIZE, SP], ENDS),
-    "stack_paired_tpa": (["trt_project", "year", SP], ENDS),
-    "stack_paired_ba": (["trt_project", "year", SP], ENDS),
+    "stack_paired_tpa": (["trt_project", "year", SP, "panel_rank"], ENDS),
+    "stack_paired_ba": (["trt_project", "year", SP, "panel_rank"], ENDS),
     "stack_size_b": ([SIZE, SP], ENDS),
     "stack_size_elev_b": (["elev_class", SIZE, SP], ENDS),
     "stack_size_trtctl_b": (["trt_ctl", SIZE, SP], ENDS),
@@ -163,15 +166,13 @@ def _united(frame: DataFrame, schema, recodes: tuple[RecodePlots, ...]) -> DataF
 
 
 def plots_union_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first year lacks a column, the second has others under its own names, as the surveys arrive."""
     (_, first), (_, second) = _split_surveys(inputs.plots(spark, sf_dir))
-    first = first.drop("treated").withColumns(
-        {c: F.lit(None).cast("string") for c in fv.PLOT_COLUMNS_2025.values()} | {"year": F.lit("2024")}
-    )
-    second = second.withColumns(
-        {c: F.lit(None).cast("string") for c in fv.PLOT_COLUMNS_2025} | {"year": F.lit("2025")}
-    ).withColumnsRenamed(fv.PLOT_COLUMNS_2025)
+    first = first.drop("treated").withColumn("year", F.lit("2024"))
+    second = second.withColumnsRenamed({new: old for old, new in fv.PLOT_COLUMNS_2025.items()})
+    second = second.withColumn("year", F.lit("2025")).withColumnsRenamed(fv.PLOT_COLUMNS_2025)
     united = bind_surveys([first, dimension.drop_unsurveyed(second)], schemas.PLOTS)
-    return _count_by_plot(corrections.recode_plot_ids(united, inputs.CORRECTIONS.recodes))
+    return corrections.recode_plot_ids(united, inputs.CORRECTIONS.recodes)
 
 
 def trees_union_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,6 +203,21 @@ def plots_tile_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.tile_keys(visited, fv.UTM_ZONE, fv.DEM_ZOOM)
 
 
+def plots_elev_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elevation from a raster keyed by tile and pixel."""
+    keyed = plots_tile_keys(spark, sf_dir)
+    return spatial.attach_elevation(keyed, inputs.tile_raster(spark), spatial.cell_columns(TILE), keep_keys=True)
+
+
+def duplicate_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inv = inputs.two_year(spark, sf_dir, Profile(corrections=inputs.COLLIDING))
+    return checks.repeated_keys(inv.located_plots, inv.keys)
+
+
+def ingest_trees_plt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.two_year(spark, sf_dir, ingest=True).trees_plt
+
+
 # --- queries that are one table of an inventory --------------------------------
 
 
@@ -210,7 +226,6 @@ TWO_YEAR: dict[str, Callable[[Inventory], DataFrame]] = {
     "dup_report": lambda inv: duplicates.later_rows(inv.trees),
     "plots_without_trees": lambda inv: checks.ids_missing_from(inv.located_plots, inv.trees, inv.keys),
     "trees_without_plots": lambda inv: checks.ids_missing_from(inv.trees, inv.located_plots, inv.keys),
-    "duplicate_plots": lambda inv: checks.repeated_keys(inv.located_plots, inv.keys),
     "duplicate_trees": lambda inv: checks.repeated_keys(inv.trees, list(duplicates.TREE_KEY)),
     "oversize_trees": lambda inv: checks.oversize_trees(inv.trees, inv.keys),
     "species_freq": lambda inv: checks.species_frequency(inv.trees),
@@ -227,6 +242,7 @@ TWO_YEAR: dict[str, Callable[[Inventory], DataFrame]] = {
     "trees_sp_trtctl": lambda inv: inv.trees_sp_trtctl,
     "trees_sp_trtuntrt": lambda inv: inv.trees_sp_trtuntrt,
     "trees_sp_size": lambda inv: inv.trees_sp_size,
+    "trees_sp_size_ranked": lambda inv: figures.ranked_by_level(inv.trees_sp_size, [SP], SIZE, fv.SIZE_CLASSES),
     "trees_sp_size_elev": lambda inv: inv.trees_sp_size_elev,
     "trees_sp_size_trtctl": lambda inv: inv.trees_sp_size_trtctl,
     "trees_sp_size_y2024untrt_y2025trt": lambda inv: inv.trees_sp_size_paired,
@@ -301,6 +317,9 @@ DIRECT: dict[str, Query] = {
     "tree_corrections": tree_corrections,
     "survey_fingerprint": survey_fingerprint,
     "plots_tile_keys": plots_tile_keys,
+    "plots_elev_tiles": plots_elev_tiles,
+    "duplicate_plots": duplicate_plots,
+    "ingest_trees_plt": ingest_trees_plt,
 }
 
 

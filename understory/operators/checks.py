@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from understory.fixed_values import CM_PER_INCH, SIZE_CLASS_UPPER_IN
@@ -39,7 +39,7 @@ def species_frequency(trees: DataFrame) -> DataFrame:
 
 
 def survey_fingerprint(trees: DataFrame, plot_id: str) -> DataFrame:
-    """Basal area (dm2) by species of each survey of one plot, largest first.
+    """Basal area (dm2) by species of each survey of one plot, largest first (``row_rank``).
 
     The first and second entry of the earlier year are told apart by whether a
     tree number was seen before in the file. A missing diameter makes the sum
@@ -55,6 +55,6 @@ def survey_fingerprint(trees: DataFrame, plot_id: str) -> DataFrame:
         .groupBy("plot_year", "species_code")
         .agg(strict_sum(F.pi() * radius_dm * radius_dm).alias("ba"))
     )
-    return by_species.orderBy(
-        F.asc_nulls_last("plot_year"), F.desc_nulls_last("ba"), F.asc_nulls_last("species_code")
-    )
+    order = [F.desc_nulls_last("ba"), F.asc_nulls_last("species_code")]
+    ranked = by_species.withColumn("row_rank", F.row_number().over(Window.partitionBy("plot_year").orderBy(*order)))
+    return ranked.orderBy(F.asc_nulls_last("plot_year"), *order)

@@ -9,7 +9,7 @@ convolution works on those.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from math import pi, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,7 +36,7 @@ def violin_density(
     x: str,
     panel: Sequence[str],
     value: str,
-    max_groups: int | None = None,
+    closed: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Density of ``value`` over its range for each violin at ``x`` in a ``panel``.
 
@@ -44,14 +44,14 @@ def violin_density(
     the tallest violin of the panel, as in equal-area violins.
     """
     by = [*panel, x]
-    stats = group_statistics(frame, by, value, {"q1": 0.25, "q3": 0.75}, max_groups).where("n >= 2")
+    stats = group_statistics(frame, by, value, {"q1": 0.25, "q3": 0.75}, closed).where("n >= 2")
     stats = stats.withColumn("bw", bandwidth())
     stats = stats.withColumn("low", F.col("min") - 4 * F.col("bw")).withColumn(
         "step", (F.col("max") + 4 * F.col("bw") - F.col("low")) / (POINTS - 1)
     )
     grid = stats.select(*by, "n", "min", "max", "bw", "low", "step")
     rows = frame.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    placed = join_group_statistics(rows, grid, by, "_v", max_groups).withColumn(
+    placed = join_group_statistics(rows, grid, by, "_v", closed).withColumn(
         "_at", (F.col("_v") - F.col("low")) / F.col("step")
     )
     left = F.floor("_at").cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from understory.operators.quantiles import exact_quantiles
 from understory.profiles import Profile
 
 PAIRED_FLAG = "y2024_untrt_y2025_trt"
+ELEVATION = ("elev_m", "elev_class")
+PLAIN_ATTRIBUTES = (*ELEVATION, "trt_ctl")
+PAIRED_ATTRIBUTES = ("treated_simp", "trt_project", PAIRED_FLAG)
 
 
 def drop_unsurveyed(plots: DataFrame, year: str = "2025") -> DataFrame:
@@ -58,12 +63,22 @@ def paired_plot_ids(plots: DataFrame) -> DataFrame:
     )
 
 
-def plot_dimension(plots: DataFrame, profile: Profile) -> DataFrame:
-    """Plot attributes by key. ``plots`` has been through :func:`classify_plots`."""
-    columns = [*profile.keys, "elev_m", "elev_class", F.col("Sample").alias("trt_ctl")]
-    if not profile.paired:
-        return plots.select(*columns)
-    dimension = plots.select(*columns, "treated_simp", "trt_project")
+def attributes(profile: Profile) -> list[str]:
+    """Names of the attributes of :func:`plot_dimension`."""
+    return [*PLAIN_ATTRIBUTES, *(PAIRED_ATTRIBUTES if profile.paired else ())]
+
+
+def plot_dimension(plots: DataFrame, profile: Profile, columns: Sequence[str] | None = None) -> DataFrame:
+    """Plot attributes by key. ``plots`` has been through :func:`classify_plots`.
+
+    ``columns`` limits it to some of :func:`attributes`; the paired flag costs a join
+    only where it is asked for. Without any, a row per plot record is left.
+    """
+    wanted = [c for c in attributes(profile) if columns is None or c in columns]
+    source = {"trt_ctl": F.col("Sample").alias("trt_ctl")}
+    dimension = plots.select(*profile.keys, *[source.get(c, c) for c in wanted if c != PAIRED_FLAG])
+    if PAIRED_FLAG not in wanted:
+        return dimension
     flagged = paired_plot_ids(plots).withColumn("_paired", F.lit(True))
     joined = null_safe_join(dimension, flagged, ["plot_id"])
     return joined.withColumn(PAIRED_FLAG, F.col("_paired").isNotNull()).drop("_paired")

@@ -1,10 +1,11 @@
 """Repeated tree records, in file order.
 
 A record is a *later occurrence* when an earlier row of the source has the same
-key. The first row of each key is found by an aggregate, so copies collapse
-before the shuffle, and rows are matched to it on their unique position. A key
-that holds a large share of the rows therefore never meets in one task, as it
-would in a window over the key.
+key. One aggregate counts the rows of each key and finds its first position, a
+number, so copies collapse before the shuffle without a sort. Only keys with
+several rows are joined back, and every key is spread over salts, so one that
+holds a large share of the rows never meets in one task, as it would in a
+window over the key.
 """
 
 from __future__ import annotations
@@ -15,34 +16,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from understory.operators.joins import null_safe_join
 from understory.profiles import RecodePlots
 from understory.sources.tables import POSITION
 
 TREE_KEY = ("year", "plot_id", "tree_num")
+KEY_SALTS = 16
 
 
-def first_occurrences(trees: DataFrame, keys: Sequence[str], position: Sequence[str]) -> DataFrame:
-    """Position of the first row of each key; null keys equal each other."""
-    first = F.min(F.struct(*position)).alias("_first")
-    return trees.groupBy(*keys).agg(first).select("_first.*")
+def _with_firsts(trees: DataFrame, keys: Sequence[str], position: str, how: str) -> DataFrame:
+    """Rows with ``_first``, the first position of their key where it has several rows."""
+    counted = trees.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_first"))
+    repeated = counted.where("_n > 1").drop("_n").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(KEY_SALTS - 1))))
+    salted = trees.withColumn("_salt", F.pmod(position, F.lit(KEY_SALTS)).cast("int"))
+    return null_safe_join(salted, repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def flag_later(
     trees: DataFrame,
     keys: Sequence[str] = TREE_KEY,
-    position: Sequence[str] = POSITION,
+    position: str = POSITION,
     flag: str = "is_later",
 ) -> DataFrame:
     """Add a boolean column, true on second and later occurrences of a key."""
-    firsts = first_occurrences(trees, keys, position).withColumn("_hit", F.lit(True))
-    return trees.join(firsts, list(position), "left").withColumn(flag, F.col("_hit").isNull()).drop("_hit")
+    later = F.coalesce(F.col(position) > F.col("_first"), F.lit(False))
+    return _with_firsts(trees, keys, position, "left").withColumn(flag, later).drop("_first")
 
 
-def later_rows(
-    trees: DataFrame, keys: Sequence[str] = TREE_KEY, position: Sequence[str] = POSITION
-) -> DataFrame:
-    """Only the second and later occurrences."""
-    return trees.join(first_occurrences(trees, keys, position), list(position), "left_anti")
+def later_rows(trees: DataFrame, keys: Sequence[str] = TREE_KEY, position: str = POSITION) -> DataFrame:
+    """Only the second and later occurrences; null keys equal each other."""
+    return _with_firsts(trees, keys, position, "inner").where(F.col(position) > F.col("_first")).drop("_first")
 
 
 def in_surveys(surveys: Iterable[tuple[str, str]]) -> Column:
@@ -70,7 +74,7 @@ def keep_later_surveys(
     correct: Callable[[DataFrame], DataFrame] = lambda frame: frame,
     recodes: Iterable[RecodePlots] = (),
     keys: Sequence[str] = TREE_KEY,
-    position: Sequence[str] = POSITION,
+    position: str = POSITION,
 ) -> DataFrame:
     """In the listed surveys, drop the first occurrence of every tree.
 

@@ -33,8 +33,9 @@ def stacked_bars(means: DataFrame, x: str, facets: Sequence[str], value: str) ->
 
 
 def reversed_panels(frame: DataFrame, panel: str, *then: str) -> DataFrame:
-    """Rows in panel order, last panel first."""
-    return frame.orderBy(F.desc_nulls_last(panel), *[F.asc_nulls_last(c) for c in then])
+    """Rows in panel order, last panel first; ``panel_rank`` numbers the panels of each ``then``."""
+    ranked = frame.withColumn("panel_rank", F.dense_rank().over(Window.partitionBy(*then).orderBy(F.desc_nulls_last(panel))))
+    return ranked.orderBy(F.desc_nulls_last(panel), *[F.asc_nulls_last(c) for c in then])
 
 
 def in_level_order(frame: DataFrame, domains: Mapping[str, Sequence[str]], *then: str) -> DataFrame:
@@ -43,15 +44,21 @@ def in_level_order(frame: DataFrame, domains: Mapping[str, Sequence[str]], *then
     return frame.orderBy(*by_level, *[F.asc_nulls_last(c) for c in then])
 
 
+def ranked_by_level(frame: DataFrame, by: Sequence[str], name: str, levels: Sequence[str]) -> DataFrame:
+    """``row_rank`` of each row within its group, by level, nulls last."""
+    order = Window.partitionBy(*by).orderBy(level_order(F.col(name), levels))
+    return frame.withColumn("row_rank", F.row_number().over(order))
+
+
 def measures_long(plots: DataFrame, ids: Sequence[str], measures: Sequence[str] = VIOLIN_MEASURES) -> DataFrame:
     """Plot metrics in long form, so one job serves all panels of a figure."""
     as_double = plots.select(*ids, *[F.col(m).cast("double").alias(m) for m in measures])
     return as_double.unpivot(list(ids), list(measures), "measure", "value")
 
 
-def box_hinges(frame: DataFrame, by: Sequence[str], value: str, max_groups: int | None = None) -> DataFrame:
+def box_hinges(frame: DataFrame, by: Sequence[str], value: str, closed: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Quartiles of each box. Whiskers are drawn to the hinges, so add nothing."""
-    return exact_quantiles(frame, by, value, QUARTILES, max_groups)
+    return exact_quantiles(frame, by, value, QUARTILES, closed)
 
 
 def known_elevation(frame: DataFrame) -> DataFrame:

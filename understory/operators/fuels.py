@@ -11,6 +11,7 @@ from understory import fixed_values as fv
 from understory.functions import zero_sum
 
 COUNTS = {"count_1h": "count_1hr", "count_10h": "count_10h", "count_100h": "count_100h", "count_1000h": "count_1000h"}
+LONG_CLASSES = ("mass_fine",)  # of the long form
 MASS_COUNT = {"1hr": "count_1h", "10hr": "count_10h", "100hr": "count_100h"}
 
 
@@ -35,4 +36,4 @@ def fuel_mass(summed: DataFrame) -> DataFrame:
 
 def long_form(mass: DataFrame, ids: Sequence[str]) -> DataFrame:
     """One row per plot and fuel class; only the fine total is carried on."""
-    return mass.unpivot(list(ids), ["mass_fine"], "fuel_class", "mass_tons_ac")
+    return mass.unpivot(list(ids), list(LONG_CLASSES), "fuel_class", "mass_tons_ac")

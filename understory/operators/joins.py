@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,17 +35,23 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
 
 def join_group_statistics(
-    rows: DataFrame, statistics: DataFrame, by: Sequence[str], value: str, max_groups: int | None
+    rows: DataFrame, statistics: DataFrame, by: Sequence[str], value: str,
+    closed: Mapping[str, Sequence[str]] | None,
 ) -> DataFrame:
     """Give each value the statistics of its group; ``_n`` counts equal values.
 
-    With a proven bound on the groups, the statistics, one row per group, are
-    broadcast and the rows stay where they are. Otherwise equal values of a
-    group are counted first, so copies collapse before the shuffle, and a group
-    is spread over :data:`SALTS` pieces by value, so a group with a large share
-    of the rows is not one task.
+    Where ``closed`` lists the values of every group column, groups of other values
+    than those and null are dropped, so there are no more groups than combinations:
+    the statistics, one row per group, are broadcast and the rows stay where they
+    are. Otherwise equal values of a group are counted first, so copies collapse
+    before the shuffle, and a group is spread over :data:`SALTS` pieces by value,
+    so a group with a large share of the rows is not one task.
     """
-    if max_groups is not None:
+    if closed is not None:
+        if set(closed) != set(by):
+            raise ValueError("every group column needs its closed domain")
+        for name, levels in closed.items():
+            statistics = statistics.where(F.col(name).isNull() | F.col(name).isin(*levels))
         return null_safe_join(rows.withColumn("_n", F.lit(1).cast("long")), F.broadcast(statistics), by, "inner")
     counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     salted = counted.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))

@@ -2,10 +2,11 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. A
 box plot has two or three groups, so at scale each buffer would hold a third of
-all plots. Here a bounded sketch brackets the wanted ranks; only the values in
-a bracket, a fraction of a percent of the group, are ordered. The sketch's rank
-error is bounded, the bracket is wider than that bound, and a rank outside its
-bracket fails the job, so the result is exact or absent, never approximate.
+all plots. Here a bounded sketch brackets the wanted ranks, read only as far from
+each as its error reaches; the values in a bracket are ordered, 40 in a million of
+a large group and at most a few dozen of a small one. The sketch's rank error has
+a proven bound and the bracket is wider, so the wanted ranks lie inside; should
+one not, the job stops, as no approximate result may pass for an exact one.
 """
 
 from __future__ import annotations
@@ -17,43 +18,52 @@ from pyspark.sql import functions as F
 
 from understory.operators.joins import join_group_statistics
 
-# The sketch is read at this many evenly spaced probabilities.
-GRID = 1000
 # Rank error of the sketch is at most rows / ACCURACY.
-ACCURACY = 20000
+ACCURACY = 100_000
+# The sketch is read at these distances from each probability; a group takes the
+# smallest that covers the error and two rows, or all its rows if none does.
+REACH = (2 / ACCURACY, 2e-4, 2e-3, 2e-2, 0.2)
 
 STATS = ("n", "min", "max", "sd")
 
 
-def _sketch(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    probabilities = [i / GRID for i in range(GRID + 1)]
+def _readings(probabilities: Sequence[float]) -> list[float]:
+    """Where the sketch is read: below and above each probability, by distance."""
+    return [min(1.0, max(0.0, p + side * d)) for p in probabilities for d in REACH for side in (-1, 1)]
+
+
+def _sketch(rows: DataFrame, by: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     return rows.groupBy(*by).agg(
         F.count("_v").alias("n"),
         F.min("_v").alias("min"),
         F.max("_v").alias("max"),
         F.stddev_samp("_v").alias("sd"),
-        F.percentile_approx("_v", probabilities, ACCURACY).alias("_grid"),
+        F.percentile_approx("_v", _readings(probabilities), ACCURACY).alias("_read"),
     )
 
 
-def _bracket(probability: float) -> Column:
+def _bracket(place: int, probability: float) -> Column:
     """Wanted ranks of one probability and values that enclose them.
 
-    Linear interpolation needs the two ranks next to ``p * (n - 1)``. An end
-    beyond the grid is left open (null).
+    Linear interpolation needs the two ranks next to ``p * (n - 1)``. Where no
+    distance reaches far enough, or the range ends, the bracket is open (null).
     """
     position = (F.col("n") - 1) * probability
     low_rank, high_rank = F.floor(position), F.ceil(position)
-    slack = F.col("n") * (2.0 / ACCURACY) + 1
-    low_at = F.floor((low_rank - slack) / F.col("n") * GRID).cast("int") - 1
-    high_at = F.ceil((high_rank + 1 + slack) / F.col("n") * GRID).cast("int") + 1
+    needed = 1.0 / ACCURACY + F.lit(2.0) / F.col("n")
+    low = high = F.lit(None).cast("double")
+    for i, distance in reversed(list(enumerate(REACH))):
+        at = 2 * (place * len(REACH) + i)
+        enough = needed <= distance
+        low = F.when(enough, F.get("_read", F.lit(at)) if probability > distance else F.lit(None)).otherwise(low)
+        high = F.when(enough, F.get("_read", F.lit(at + 1)) if probability < 1 - distance else F.lit(None)).otherwise(high)
     return F.struct(
         F.lit(probability).alias("p"),
         low_rank.alias("low_rank"),
         high_rank.alias("high_rank"),
         (position - low_rank).alias("weight"),
-        F.when(low_at >= 0, F.get("_grid", low_at)).alias("low"),
-        F.get("_grid", high_at).alias("high"),
+        low.alias("low"),
+        high.alias("high"),
     )
 
 
@@ -62,21 +72,22 @@ def group_statistics(
     by: Sequence[str],
     value: str,
     quantiles: Mapping[str, float],
-    max_groups: int | None = None,
+    closed: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Count, minimum, maximum, standard deviation and exact quantiles by group.
 
     ``quantiles`` maps output names to probabilities; nulls in ``value`` are
-    skipped. ``max_groups`` states a proven bound on the number of groups, such
-    as a closed domain (see :func:`join_group_statistics`).
+    skipped. ``closed`` has the values of the group columns where they are few and
+    known (see :func:`join_group_statistics`).
     """
     rows = frame.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     probabilities = sorted(set(quantiles.values()))
-    brackets = _sketch(rows, by).where("n > 0").select(
-        *by, F.struct(*STATS, F.array(*[_bracket(p) for p in probabilities]).alias("brackets")).alias("_s")
+    wanted = [_bracket(i, p) for i, p in enumerate(probabilities)]
+    brackets = _sketch(rows, by, probabilities).where("n > 0").select(
+        *by, F.struct(*STATS, F.array(*wanted).alias("brackets")).alias("_s")
     )
     if by:
-        bracketed = join_group_statistics(rows, brackets, by, "_v", max_groups)
+        bracketed = join_group_statistics(rows, brackets, by, "_v", closed)
     else:
         bracketed = rows.select("*", F.lit(1).alias("_n"), brackets.scalar().alias("_s"))
 
@@ -121,7 +132,7 @@ def exact_quantiles(
     by: Sequence[str],
     value: str,
     quantiles: Mapping[str, float],
-    max_groups: int | None = None,
+    closed: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` by group."""
-    return group_statistics(frame, by, value, quantiles, max_groups).select(*by, *quantiles)
+    return group_statistics(frame, by, value, quantiles, closed).select(*by, *quantiles)

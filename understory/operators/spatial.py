@@ -32,14 +32,17 @@ def grid_cell(
     }
 
 
-def attach_elevation(plots: DataFrame, dem: DataFrame, cell: dict[str, Column]) -> DataFrame:
+def attach_elevation(
+    plots: DataFrame, dem: DataFrame, cell: dict[str, Column], keep_keys: bool = False
+) -> DataFrame:
     """Left equi join of points to raster cells; points off the raster get null.
 
     The raster can be far larger than the plots, so neither side is hinted.
     """
     keys = list(cell)
     located = plots.withColumns(cell)
-    return located.join(dem.select(*keys, "elev_m"), keys, "left").drop(*keys)
+    joined = located.join(dem.select(*keys, "elev_m"), keys, "left")
+    return joined if keep_keys else joined.drop(*keys)
 
 
 def drop_geometry(plots: DataFrame, easting: str = "Easting", northing: str = "Northing") -> DataFrame:

@@ -24,8 +24,9 @@ from understory.operators.trees import CELL_MEASURES, SPECIES, SPECIES_SIZE
 from understory.profiles import Profile
 from understory.sources.shared import cut_lineage
 
-# Groups of an elevation figure: two classes and null, for each of its panels.
-ELEV_GROUPS = len(fv.ELEV_CLASSES) + 1
+# Closed domains of the elevation figures; a null class is a group as well.
+ELEV_MEASURES = {"measure": figures.VIOLIN_MEASURES, "elev_class": fv.ELEV_CLASSES}
+ELEV_FUELS = {"fuel_class": fuels.LONG_CLASSES, "elev_class": fv.ELEV_CLASSES}
 
 
 class Inventory:
@@ -50,24 +51,34 @@ class Inventory:
         self._raw = {"plots": plots, "trees": trees, "fuels": fuels}
         self._dem = dem
         self._cell = cell or grid_cell(0.0, 0.0, 30.0)
+        self._stored = False  # whether shared tables have been written by materialize()
 
     def _recoded(self, name: str) -> DataFrame:
         return corrections.recode_plot_ids(self._raw[name], self.profile.corrections.recodes)
 
     # --- cleaned tables ------------------------------------------------------
 
+    @cached_property
+    def surveyed_plots(self) -> DataFrame:
+        """Plots that were visited."""
+        plots = self._recoded("plots")
+        return dimension.drop_unsurveyed(plots) if self.profile.paired else plots
+
     @cached_property
     def located_plots(self) -> DataFrame:
         """Surveyed plots with elevation."""
-        plots = self._recoded("plots")
-        if self.profile.paired:
-            plots = dimension.drop_unsurveyed(plots)
-        return drop_geometry(attach_elevation(require_coordinates(plots), self._dem, self._cell))
+        return drop_geometry(attach_elevation(require_coordinates(self.surveyed_plots), self._dem, self._cell))
 
     @cached_property
     def plots(self) -> DataFrame:
         return dimension.classify_plots(self.located_plots, self.profile)
 
+    @cached_property
+    def plots_off_raster(self) -> DataFrame:
+        """Classified plots for tables that have no use for elevation; it is null here."""
+        flat = drop_geometry(self.surveyed_plots).withColumn("elev_m", F.lit(None).cast("double"))
+        return dimension.classify_plots(flat, self.profile)
+
     @cached_property
     def dimension(self) -> DataFrame:
         return dimension.plot_dimension(self.plots, self.profile)
@@ -93,25 +104,39 @@ class Inventory:
 
     # --- plot-level tables ---------------------------------------------------
 
-    def with_plots(self, frame: DataFrame) -> DataFrame:
-        """Attach the plot dimension; rows without a plot keep null attributes."""
-        return null_safe_join(frame, self.dimension, self.keys)
+    def with_plots(self, frame: DataFrame, columns: list[str] | None = None, year: str | None = None) -> DataFrame:
+        """Attach the plot dimension; rows without a plot keep null attributes.
+
+        ``columns`` are the attributes that are used: without an elevation the raster
+        is not joined, without the paired flag the plots are not paired. ``year``
+        is the only one ``frame`` holds, if it holds only one.
+        """
+        attributes = dimension.attributes(self.profile) if columns is None else columns
+        if self._stored or set(dimension.ELEVATION) & set(attributes):
+            plots = self.dimension if self._stored or columns is None else dimension.plot_dimension(
+                self.plots, self.profile, columns)
+        else:
+            plots = dimension.plot_dimension(self.plots_off_raster, self.profile, columns)
+        if year is not None:
+            plots = plots.where(F.col("year") == year)
+        return null_safe_join(frame, plots.select(*self.keys, *attributes), self.keys)
 
     @cached_property
     def trees_plt(self) -> DataFrame:
         sums = trees.sum_trees(self.measured_trees, [pack(self.keys)], self.profile)
         return self.with_plots(trees.plot_metrics(sums.select(f"{PACKED}.*", "*"), self.profile))
 
-    def _nested(self, domains: dict) -> DataFrame:
-        """Observed cells per plot, one row each, with the plot's attributes.
+    def _nested(self, domains: dict, columns: list[str] | None = None, year: str | None = None) -> DataFrame:
+        """Observed cells per plot, one row each, with the plot's attributes (those in ``columns``).
 
         Attributes are joined before cells are unrolled: one row per plot meets
         the dimension instead of one per cell. Filling touches measures only, so
         the order does not matter to the result.
         """
+        measured = self.measured_trees if year is None else self.measured_trees.where(F.col("year") == year)
         by = [*self.keys, *domains]
-        cells = trees.cell_metrics(trees.sum_trees(self.measured_trees, by, self.profile), by)
-        return self.with_plots(nest_cells(cells, self.keys, domains, CELL_MEASURES))
+        cells = trees.cell_metrics(trees.sum_trees(measured, by, self.profile), by)
+        return self.with_plots(nest_cells(cells, self.keys, domains, CELL_MEASURES), columns, year)
 
     @cached_property
     def _species_nested(self) -> DataFrame:
@@ -143,41 +168,49 @@ class Inventory:
 
     # --- stratum means -------------------------------------------------------
 
-    def _mean_year(self, nested: DataFrame) -> DataFrame:
+    def _one_year_means(self, domains: dict, by: list[str]) -> DataFrame:
+        """Means of the profile's year over strata of plot attributes."""
         year = self.profile.mean_year
-        return nested if year is None else nested.where(F.col("year") == year)
+        if self._stored:
+            nested = self._species_nested if domains is SPECIES else self._size_nested
+            nested = nested if year is None else nested.where(F.col("year") == year)
+        else:
+            nested = self._nested(domains, by, year)
+        return strata.stratum_means(nested, by, domains)
 
     @cached_property
     def trees_sp_elev(self) -> DataFrame:
-        return strata.stratum_means(self._mean_year(self._species_nested), ["elev_class"], SPECIES)
+        return self._one_year_means(SPECIES, ["elev_class"])
 
     @cached_property
     def trees_sp_trtctl(self) -> DataFrame:
-        return strata.stratum_means(self._mean_year(self._species_nested), ["trt_ctl"], SPECIES)
+        return self._one_year_means(SPECIES, ["trt_ctl"])
 
     @cached_property
     def trees_sp_trtuntrt(self) -> DataFrame:
         """Paired plots by flag: rows whose survey has no plot record are left out."""
-        paired = self._species_nested.where(F.col(PAIRED_FLAG))
+        nested = self._species_nested if self._stored else self._nested(SPECIES, ["trt_project", PAIRED_FLAG])
+        paired = nested.where(F.col(PAIRED_FLAG))
         return strata.stratum_means(paired, ["year", "trt_project"], SPECIES)
 
     @cached_property
     def trees_sp_size(self) -> DataFrame:
-        return strata.stratum_means(self._mean_year(self._size_nested), [], SPECIES_SIZE)
+        return self._one_year_means(SPECIES_SIZE, [])
 
     @cached_property
     def trees_sp_size_elev(self) -> DataFrame:
-        return strata.stratum_means(self._mean_year(self._size_nested), ["elev_class"], SPECIES_SIZE)
+        return self._one_year_means(SPECIES_SIZE, ["elev_class"])
 
     @cached_property
     def trees_sp_size_trtctl(self) -> DataFrame:
-        return strata.stratum_means(self._mean_year(self._size_nested), ["trt_ctl"], SPECIES_SIZE)
+        return self._one_year_means(SPECIES_SIZE, ["trt_ctl"])
 
     @cached_property
     def trees_sp_size_paired(self) -> DataFrame:
         """Paired plots by identifier: rows whose survey has no plot record stay."""
-        ids = dimension.paired_plot_ids(self.plots)
-        paired = null_safe_join(self._size_nested, ids, ["plot_id"], "left_semi")
+        ids = dimension.paired_plot_ids(self.plots_off_raster)
+        nested = self._size_nested if self._stored else self._nested(SPECIES_SIZE, ["treated_simp", "trt_project"])
+        paired = null_safe_join(nested, ids, ["plot_id"], "left_semi")
         return strata.stratum_means(paired, ["treated_simp", "year", "trt_project"], SPECIES_SIZE)
 
     # --- figure datasets -----------------------------------------------------
@@ -225,13 +258,11 @@ class Inventory:
 
     @cached_property
     def box_elev(self) -> DataFrame:
-        groups = ELEV_GROUPS * len(figures.VIOLIN_MEASURES)
-        return figures.box_hinges(self._elev_measures(), ["measure", "elev_class"], "value", groups)
+        return figures.box_hinges(self._elev_measures(), ["measure", "elev_class"], "value", ELEV_MEASURES)
 
     @cached_property
     def density_elev(self) -> DataFrame:
-        groups = ELEV_GROUPS * len(figures.VIOLIN_MEASURES)
-        return violin_density(self._elev_measures(), "elev_class", ["measure"], "value", groups)
+        return violin_density(self._elev_measures(), "elev_class", ["measure"], "value", ELEV_MEASURES)
 
     @cached_property
     def box_trtctl(self) -> DataFrame:
@@ -257,13 +288,13 @@ class Inventory:
     def box_fuels_elev(self) -> DataFrame:
         """The fuel axis is not limited to the two classes, so the null one stays."""
         return figures.box_hinges(
-            self.fuels_long("elev_class"), ["fuel_class", "elev_class"], "mass_tons_ac", ELEV_GROUPS
+            self.fuels_long("elev_class"), ["fuel_class", "elev_class"], "mass_tons_ac", ELEV_FUELS
         )
 
     @cached_property
     def density_fuels_elev(self) -> DataFrame:
         return violin_density(
-            self.fuels_long("elev_class"), "elev_class", ["fuel_class"], "mass_tons_ac", ELEV_GROUPS
+            self.fuels_long("elev_class"), "elev_class", ["fuel_class"], "mass_tons_ac", ELEV_FUELS
         )
 
     @cached_property
@@ -301,6 +332,7 @@ class Inventory:
         frame to shared storage and returns the stored copy.
         """
         self.dimension = store(self.dimension)
+        self._stored = True
         by = [*self.keys, *SPECIES_SIZE]
         sums = store(trees.sum_trees(self.measured_trees, by, self.profile))
         cells = {

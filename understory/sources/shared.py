@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from urllib.parse import urlparse
 
@@ -13,12 +15,16 @@ SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir`` (or by ``setCheckpointDir``).
 
-    Raises ValueError where none is set, or where it is on one machine's disk
-    while the master is a cluster: executors would write files others miss.
+    Where none is set, a session of one process (``local[*]``) gets a temporary one.
+    On a cluster that is a ValueError, and so is a folder on one machine's disk:
+    executors would write files others miss.
     """
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        raise ValueError(f"set {SETTING} to a folder that all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+        folder = spark.sparkContext.getCheckpointDir()
     if urlparse(folder).scheme == "file" and not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{SETTING} is {folder}, a local folder; a cluster needs a shared one")
     return folder.rstrip("/")

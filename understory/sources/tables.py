@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Position of a row in its source: file name, then row within the file.
-POSITION = ("src_file", "src_row")
+# Position of a row in its source: one number, by file name, then by row within the file.
+POSITION = "src_row"
+ROWS_PER_FILE = 1 << 40
 
-POSITION_FIELDS = [T.StructField("src_file", T.StringType()), T.StructField("src_row", T.LongType())]
+POSITION_FIELDS = [T.StructField(POSITION, T.LongType())]
 
 
 def read_table(
@@ -32,7 +33,7 @@ def read_table(
 
     ``with_position`` adds :data:`POSITION`. Parquet files know the index of
     each row, so no window or sort is needed and a rerun task finds the same
-    positions. Other formats must carry the two columns from the exporter.
+    positions. Other formats must carry the column from the exporter.
     """
     if year is not None:
         schema = T.StructType([f for f in schema.fields if f.name != "year"])
@@ -48,10 +49,18 @@ def read_table(
 
 
 def add_file_position(frame: DataFrame) -> DataFrame:
-    """Add the file order of a frame that was just read from Parquet."""
-    return frame.withColumns(
-        {"src_file": F.col("_metadata.file_path"), "src_row": F.col("_metadata.row_index")}
-    )
+    """Add the file order of a frame that was just read from Parquet.
+
+    Files are numbered by name; the driver holds their list anyway. A single file,
+    the usual survey export, needs no number.
+    """
+    if len(frame.inputFiles()) <= 1:
+        return frame.withColumn(POSITION, F.col("_metadata.row_index"))
+    files = sorted(r[0] for r in frame.select("_metadata.file_path").distinct().collect())
+    numbers = frame.sparkSession.createDataFrame(list(enumerate(files)), "_file_no long, _file string")
+    placed = frame.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    placed = placed.join(F.broadcast(numbers), "_file", "left")
+    return placed.withColumn(POSITION, F.col("_file_no") * ROWS_PER_FILE + F.col("_row")).drop("_file", "_file_no", "_row")
 
 
 def check_types(frame: DataFrame, schema: T.StructType) -> DataFrame:
