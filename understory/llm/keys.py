@@ -1,4 +1,4 @@
-"""Taking rows by a set of ids without moving their texts where the set is small."""
+"""Joins that know the size of one side, or how often its keys occur."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_IDS = 1_000_000  # 8 MB; larger sets are joined by a shuffle
+HOT_KEYS = 2000  # a key with more than this part of all counted rows is hot, so there are fewer hot keys than this
 
 
 def _by_ids(rows: DataFrame, ids: DataFrame, how: str, doc_id: str) -> DataFrame:
@@ -23,3 +24,17 @@ def without_ids(rows: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> Data
 def with_ids(rows: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Rows whose id is among ``ids``."""
     return _by_ids(rows, ids, "left_semi", doc_id)
+
+
+def join_by_frequency(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` to ``table``, a stored frame that has each key once and its number of rows.
+
+    Keys that hold more than one in HOT_KEYS of the counted rows number less than
+    HOT_KEYS, however large the data: they are broadcast, and their rows are not
+    moved. All others are joined by a shuffle, in which no key is large.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(count) * HOT_KEYS > total).drop(count))
+    rest = table.where(F.col(count) * HOT_KEYS <= total).drop(count)
+    cold = rows.join(hot.select(key), key, "left_anti").join(rest, key)
+    return rows.join(hot, key).unionByName(cold)
