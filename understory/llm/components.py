@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from understory.llm.keys import join_by_frequency
 from understory.sources.shared import cut_lineage
 
 
@@ -14,7 +15,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates two steps that keep the components and shrink every tree: each node's
     larger neighbours, then its smaller ones, are linked to its smallest neighbour.
     A node's neighbours are never gathered; only their minimum is, which combines
-    before the shuffle. Ends when every node hangs on its smallest one, after
+    before the shuffle, and nodes with very many neighbours are sent to the links
+    instead of the other way round. Ends when every node hangs on its smallest one, after
     about log of the longest path rounds. Edges of null or equal ends are no links.
     Rounds are written to the shared folder.
     """
@@ -22,7 +24,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = cut_lineage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        large = _star(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        large = cut_lineage(_star(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))))
         small = cut_lineage(_star(large, with_self=True))
         state = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
@@ -38,8 +40,9 @@ def _star(links: DataFrame, with_self: bool = False) -> DataFrame:
     With all links in both directions the larger neighbours are linked, with
     ``with_self`` (links point to smaller nodes) the smaller ones and the node.
     """
-    least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    met = links.join(least, "a")
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    least = cut_lineage(least.select("a", F.least("a", "m").alias("m"), "n"))
+    met = join_by_frequency(links, least, "a", "n")
     if with_self:
         out = met.select(F.col("b").alias("x"), "m").unionByName(least.select(F.col("a").alias("x"), "m"))
     else:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from understory.llm.components import components
+from understory.llm.keys import join_by_frequency
 from understory.llm.words import hash_words, in_chunks, mix, shingles
 from understory.sources.shared import cut_lineage
 
@@ -235,8 +236,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def _proposed_groups(classes: DataFrame) -> DataFrame:
     """(node, proposed) for classes that share a band with another; groups are joined through their smallest node."""
     banded = classes.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub != _last")
-    star = banded.join(hubs.select("band", "hub"), "band").where("node != hub").select("node", "hub").distinct()
+    hubs = banded.groupBy("band").agg(
+        F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("n")).where("hub != last").drop("last")
+    star = join_by_frequency(banded, cut_lineage(hubs), "band", "n").where("node != hub").select("node", "hub").distinct()
     return components(star, "node", "hub").withColumnRenamed("component", "proposed")
 
 
