@@ -47,6 +47,8 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Za-z][a-z]*")
 
+_RAW_END = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in RAW}
+
 TAG, TEXT = 0, 1
 
 
@@ -69,6 +71,7 @@ def tokens(page: str) -> list[tuple[int, str, str]]:
     """
     out: list[tuple[int, str, str]] = []
     stack: list[tuple[str, str]] = []  # element, part
+    opened: Counter[str] = Counter()  # elements on the stack
     at = furniture = main = 0
 
     def context() -> str:
@@ -76,12 +79,12 @@ def tokens(page: str) -> list[tuple[int, str, str]]:
 
     def pop() -> str:
         nonlocal furniture, main
-        _, part = stack.pop()
+        element, part = stack.pop()
+        opened[element] -= 1
         furniture -= part == "furniture"
         main -= part == "main"
         return part
 
-    lower = None
     while found := _TOKEN.search(page, at):
         if found.start() > at:
             out.append((TEXT, context(), page[at:found.start()]))
@@ -92,7 +95,7 @@ def tokens(page: str) -> list[tuple[int, str, str]]:
         space = "" if name in INLINE else " "
         if closing:
             part = "plain"
-            if any(e == name for e, _ in stack):
+            if opened[name] > 0:
                 while stack[-1][0] != name:
                     pop()
                 part = pop()
@@ -103,12 +106,11 @@ def tokens(page: str) -> list[tuple[int, str, str]]:
         part = _kind(name, tag, main > 0)
         out.append((TAG, f"open:{part}", space))
         if name in RAW:
-            if lower is None:  # only A-Z change, so places stay
-                lower = page.translate(_LOWER)
-            end = lower.find(f"</{name}", at)
-            at = len(page) if end < 0 else end
+            end = _RAW_END[name].search(page, at)
+            at = end.start() if end else len(page)
         elif name not in VOID and not tag.endswith("/>"):
             stack.append((name, part))
+            opened[name] += 1
             furniture += part == "furniture"
             main += part == "main"
     if at < len(page):
@@ -116,8 +118,6 @@ def tokens(page: str) -> list[tuple[int, str, str]]:
     return out
 
 
-_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-
 # Labelled by hand: what lies between [[ and ]] is the main text.
 LABELLED = (
     """<html><head><title>A page</title><style>p{}</style></head><body><header><div class="logo">Site name</div>

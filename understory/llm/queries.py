@@ -115,5 +115,43 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+# All pairs, then the smallest vector reachable by links.
+OP1_SQL = """
+with recursive usable as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x != 0)) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from usable a join usable b
+    on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+reached(x, y) as (select x, y from links union select r.x, l.y from reached r join links l on r.y = l.x),
+smallest as (select x, min(y) as y from reached group by x),
+counted as (select x, count(*) as n from links group by x)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(s.y, vec_id)) as component_id,
+  vec_id = least(vec_id, coalesce(s.y, vec_id)) as kept
+from embeddings left join counted c on vec_id = c.x left join smallest s on vec_id = s.x"""
+
+# Distinct runs of five words of every text, joined on the runs themselves.
+_RUNS = r"""
+{name}_words as (
+  select {key} as id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from {table}
+  where {key} is not null and text is not null)"""
+OP6_SQL = f"""
+with {_RUNS.format(name='doc', key='doc_id', table='documents')},
+{_RUNS.format(name='item', key='item_id', table='benchmark')},
+item_runs as (
+  select distinct id as item_id, width, array_to_string(w[i:i + width - 1], ' ') as run
+  from (select id, w, least(5, len(w)) as width, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from item_words
+    where len(w) > 0)),
+widths as (select distinct width from item_runs),
+doc_runs as (
+  select distinct id as doc_id, width, array_to_string(w[i:i + width - 1], ' ') as run
+  from (select id, w, width, unnest(range(1, len(w) - width + 2)) as i from doc_words, widths)),
+sizes as (select item_id, count(*) as n from item_runs group by item_id)
+select doc_id, item_id, any_value(n) as n_shingles, count(*) as n_found, count(*) / any_value(n) as containment
+from item_runs join doc_runs using (width, run) join sizes using (item_id)
+group by doc_id, item_id having count(*) >= 0.8 * any_value(n)"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op6_benchmark_containment": OP6_SQL}
