@@ -15,7 +15,9 @@ from understory.catalog import inputs, queries
 from understory.catalog.oracle import all_oracles
 from understory.operators import checks
 from understory.operators.spatial import grid_cell
-from understory.profiles import ONE_YEAR, Profile
+from understory.profiles import ONE_YEAR, TWO_YEAR, Profile
+from understory.sources import schemas
+from understory.sources.tables import read_table
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
@@ -27,7 +29,12 @@ SAMPLE = [
     "trees_sp_size", "trees_sp_size_elev", "trees_sp_trtuntrt", "trees_sp_size_y2024untrt_y2025trt",
     "trees_sp_size_b", "rollup_shared_scan", "fuels_mass", "bar_totals_size", "stack_paired_size", "box_elev",
     "box_paired", "box_fuels", "density_elev_b", "density_paired", "cwhr_counts_trtctl_b",
+    "plots_without_trees", "duplicate_plots", "tree_corrections", "species_freq", "plots_elev", "plots_elev_tiles",
+    "ingest_trees_plt", "trees_sp_size_ranked", "bar_totals_tpa", "stack_paired_tpa", "stack_size_elev", "stack_elev_ba_b",
+    "box_fuels_paired", "density_fuels", "density_fuels_trtctl_b", "fuels_long", "fuels_long_paired",
 ]
+# These were empty at some scale; they have to show something.
+NEVER_EMPTY = ["plots_without_trees", "trees_without_plots", "duplicate_plots", "tree_corrections", "box_fuels"]
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +51,7 @@ def con():
 def test_query_equals_its_sql(spark, con, name):
     same, note = compare(spark, con, name, SF)
     assert same, note
+    assert name not in NEVER_EMPTY or not note.startswith("0 rows")
 
 
 def test_entry_module(spark):
@@ -139,11 +147,38 @@ def test_tree_scan_reads_only_needed_columns(spark, inv):
     assert schemas and all("l_orderkey" not in s and "l_tax" not in s and "l_quantity" not in s for s in schemas)
 
 
-def test_box_scans_trees_as_often_as_its_input(spark, inv):
-    """Sketch and selection share one shuffle of the plot metrics."""
-    frame = inv.box_elev
-    frame.collect()
-    assert "ReusedExchange" in final_plan(frame)
+def test_boxes_and_violins_read_a_stored_table(spark, inv):
+    """Their passes are over plot metrics written once, not over the trees."""
+    for frame in (inv.box_elev, inv.density_elev, inputs.one_year(spark, SF).density_elev):
+        plan = final_plan(frame)
+        assert "l_suppkey" not in plan and "s_suppkey" not in plan and plan.count("FileScan") + plan.count("Scan parquet") < 10
+
+
+def test_tables_join_only_what_they_use(spark, inv):
+    """No raster where no elevation is used, one year of plots where one is averaged, no paired flag unless asked."""
+    plan = inv.trees_sp_size._jdf.queryExecution().optimizedPlan().toString()
+    assert "cell_x" not in plan and "_paired" not in plan
+    assert "2025" not in "".join(line for line in plan.splitlines() if "s_suppkey" in line and "suffix" in line and "Generate" in line)
+    assert "cell_x" not in inv.trees_sp_trtctl._jdf.queryExecution().optimizedPlan().toString()
+    assert "cell_x" in inv.trees_sp_elev._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_duplicates_hash_and_main_scan_has_no_position(spark, inv):
+    for name in ("dup_report", "dedupe_keep_later", "survey_fingerprint"):
+        assert "SortAggregate" not in final_plan(queries.all_queries()[name](spark, SF)), name
+    scans = re.findall(r"FileScan parquet \[([^\]]*l_suppkey[^\]]*)\]", final_plan(inv.trees_plt))
+    assert len(scans) >= 2 and any("_metadata" not in s and "row_index" not in s for s in scans)
+
+
+def test_minimum_diameter_reaches_the_scan(spark, tmp_path, plots_of, dem):
+    rows = [("A_P_1", float(i), "PSME", "L", 5.0 + i) for i in range(20)]
+    frame = spark.createDataFrame(rows, "plot_id string, tree_num double, species_code string, status string, dbh_cm double")
+    frame.write.parquet(f"{tmp_path}/trees")
+    trees = read_table(spark, f"{tmp_path}/trees", schemas.TREES, year="2024", with_position=True)
+    fuels = spark.createDataFrame([], schemas.FUELS)
+    inv = Inventory(plots_of([("2024", "A_P_1", "s", None, 5.0, 5.0)]), trees, fuels, dem, TWO_YEAR)
+    assert "GreaterThanOrEqual(dbh_cm,10.0)" in final_plan(inv.trees_plt)
+    assert inv.measured_trees.count() == 15
 
 
 def test_oracles_read_given_tables():

@@ -191,10 +191,11 @@ def tree_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def survey_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = corrections.set_values(
-        corrections.recode_plot_ids(inputs.trees(spark, sf_dir), inputs.CORRECTIONS.recodes),
-        inputs.CORRECTIONS.tree_values,
-    )
+    """Rows of the plot are taken by the identifiers they have in the source, so the scan reads only those."""
+    rules = inputs.CORRECTIONS
+    surveys = [(year, inputs.FINGERPRINT_PLOT) for year in ("2024", "2025")]
+    rows = inputs.trees(spark, sf_dir).where(duplicates.in_surveys(duplicates.source_surveys(surveys, rules.recodes)))
+    fixed = corrections.set_values(corrections.recode_plot_ids(rows, rules.recodes), rules.tree_values)
     return checks.survey_fingerprint(fixed, inputs.FINGERPRINT_PLOT)
 
 

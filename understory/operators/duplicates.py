@@ -75,6 +75,7 @@ def keep_later_surveys(
     recodes: Iterable[RecodePlots] = (),
     keys: Sequence[str] = TREE_KEY,
     position: str = POSITION,
+    only: Column | None = None,
 ) -> DataFrame:
     """In the listed surveys, drop the first occurrence of every tree.
 
@@ -86,13 +87,17 @@ def keep_later_surveys(
     ``correct`` is applied before trees are compared, and ``recodes`` are the
     identifier changes it makes. Listed surveys are split off on the source
     columns, so the split is a plain filter the scan can prune files by; only
-    their rows are shuffled.
+    their rows are shuffled. ``only`` is a condition on source columns for rows of
+    the other surveys, for callers that drop rows afterwards anyway; it must not be
+    applied before trees of the listed ones are compared.
     """
     surveys = list(surveys)
     repeated = [s for i, s in enumerate(surveys) if s in surveys[:i]]
     listed = source_surveys(dict.fromkeys(surveys), list(recodes))
+    others = trees.where(~in_surveys(listed)) if listed else trees
+    others = correct(others if only is None else others.where(only))
     if not listed:
-        return correct(trees)
+        return others
     kept = later_rows(correct(trees.where(in_surveys(listed))), keys, position)
-    result = correct(trees.where(~in_surveys(listed))).unionByName(kept)
+    result = others.unionByName(kept)
     return keep_later_surveys(result, repeated, keys=keys, position=position) if repeated else result

@@ -1,7 +1,8 @@
 """The whole pipeline, from survey tables to figure datasets.
 
-Every property is a lazy DataFrame plan. Reading one costs nothing; running it
-scans only the tables and columns it needs.
+Every table is a lazy DataFrame plan. Reading one costs nothing; running it scans
+only the tables and columns it needs. Boxes and violins take several passes, so
+they write the plot-level table they are made of to the shared folder first.
 """
 
 from __future__ import annotations
@@ -86,17 +87,25 @@ class Inventory:
     @cached_property
     def trees(self) -> DataFrame:
         """Trees after corrections, without the first entry of resurveyed plots."""
+        return self._corrected_trees()
+
+    def _corrected_trees(self, only: Column | None = None) -> DataFrame:
         rules = self.profile.corrections
 
         def correct(frame: DataFrame) -> DataFrame:
             recoded = corrections.recode_plot_ids(frame, rules.recodes)
             return corrections.set_values(recoded, rules.tree_values)
 
-        return duplicates.keep_later_surveys(self._raw["trees"], rules.keep_later, correct, rules.recodes)
+        return duplicates.keep_later_surveys(
+            self._raw["trees"], rules.keep_later, correct, rules.recodes, only=only)
 
     @cached_property
     def measured_trees(self) -> DataFrame:
-        return trees.measure_trees(self.trees, self.profile)
+        """Trees of the minimum size. Unless a correction can lift a tree over it, the scan drops the others."""
+        fixes = [fix.match.get("dbh_cm") for fix in self.profile.corrections.tree_values if fix.column == "dbh_cm"]
+        settled = all(old is not None and old >= fv.MIN_DBH_CM for old in fixes)
+        large = F.col("dbh_cm") >= fv.MIN_DBH_CM
+        return trees.measure_trees(self._corrected_trees(large) if settled else self.trees, self.profile)
 
     @cached_property
     def fuels(self) -> DataFrame:
@@ -241,20 +250,33 @@ class Inventory:
         )
         return figures.stacked_bars(means, "size_class", ["trt_project", "year"], "tpa_live_gt10cm")
 
+    @cached_property
+    def _figure_plots(self) -> DataFrame:
+        """Plot metrics behind boxes and violins, stored: those pass over them two or three times."""
+        return self.trees_plt if self._stored else cut_lineage(self.trees_plt)
+
+    @cached_property
+    def _figure_fuels(self) -> DataFrame:
+        """Fuel masses behind boxes and violins, stored."""
+        return self.fuels_mass if self._stored else cut_lineage(self.fuels_mass)
+
     def _elev_measures(self) -> DataFrame:
-        return figures.measures_long(figures.known_elevation(self.trees_plt), ["elev_class"])
+        return figures.measures_long(figures.known_elevation(self._figure_plots), ["elev_class"])
 
     def _paired_plots(self) -> DataFrame:
-        return self.trees_plt.where(F.col(PAIRED_FLAG))
+        return self._figure_plots.where(F.col(PAIRED_FLAG))
 
-    def fuels_long(self, x: str) -> DataFrame:
+    def fuels_long(self, x: str, mass: DataFrame | None = None) -> DataFrame:
         ids = [*self.keys, *[c for c in ("elev_class", "trt_ctl") if c not in self.keys]]
-        return fuels.long_form(self.fuels_mass, ids if x in ids else [*ids, x])
+        return fuels.long_form(self.fuels_mass if mass is None else mass, ids if x in ids else [*ids, x])
+
+    def _paired_fuels(self, mass: DataFrame) -> DataFrame:
+        paired = mass.where(F.col(PAIRED_FLAG))
+        return fuels.long_form(paired, ["year", "plot_id", "elev_class", "trt_ctl", "trt_project"])
 
     @cached_property
     def fuels_long_paired(self) -> DataFrame:
-        paired = self.fuels_mass.where(F.col(PAIRED_FLAG))
-        return fuels.long_form(paired, ["year", "plot_id", "elev_class", "trt_ctl", "trt_project"])
+        return self._paired_fuels(self.fuels_mass)
 
     @cached_property
     def box_elev(self) -> DataFrame:
@@ -266,12 +288,12 @@ class Inventory:
 
     @cached_property
     def box_trtctl(self) -> DataFrame:
-        rows = figures.measures_long(self.trees_plt, ["trt_ctl"])
+        rows = figures.measures_long(self._figure_plots, ["trt_ctl"])
         return figures.box_hinges(rows, ["measure", "trt_ctl"], "value")
 
     @cached_property
     def density_trtctl(self) -> DataFrame:
-        rows = figures.measures_long(self.trees_plt, ["trt_ctl"])
+        rows = figures.measures_long(self._figure_plots, ["trt_ctl"])
         return violin_density(rows, "trt_ctl", ["measure"], "value")
 
     @cached_property
@@ -288,32 +310,32 @@ class Inventory:
     def box_fuels_elev(self) -> DataFrame:
         """The fuel axis is not limited to the two classes, so the null one stays."""
         return figures.box_hinges(
-            self.fuels_long("elev_class"), ["fuel_class", "elev_class"], "mass_tons_ac", ELEV_FUELS
+            self.fuels_long("elev_class", self._figure_fuels), ["fuel_class", "elev_class"], "mass_tons_ac", ELEV_FUELS
         )
 
     @cached_property
     def density_fuels_elev(self) -> DataFrame:
         return violin_density(
-            self.fuels_long("elev_class"), "elev_class", ["fuel_class"], "mass_tons_ac", ELEV_FUELS
+            self.fuels_long("elev_class", self._figure_fuels), "elev_class", ["fuel_class"], "mass_tons_ac", ELEV_FUELS
         )
 
     @cached_property
     def box_fuels_trtctl(self) -> DataFrame:
-        return figures.box_hinges(self.fuels_long("trt_ctl"), ["fuel_class", "trt_ctl"], "mass_tons_ac")
+        return figures.box_hinges(self.fuels_long("trt_ctl", self._figure_fuels), ["fuel_class", "trt_ctl"], "mass_tons_ac")
 
     @cached_property
     def density_fuels_trtctl(self) -> DataFrame:
-        return violin_density(self.fuels_long("trt_ctl"), "trt_ctl", ["fuel_class"], "mass_tons_ac")
+        return violin_density(self.fuels_long("trt_ctl", self._figure_fuels), "trt_ctl", ["fuel_class"], "mass_tons_ac")
 
     @cached_property
     def box_fuels_paired(self) -> DataFrame:
         return figures.box_hinges(
-            self.fuels_long_paired, ["fuel_class", "trt_project", "year"], "mass_tons_ac"
+            self._paired_fuels(self._figure_fuels), ["fuel_class", "trt_project", "year"], "mass_tons_ac"
         )
 
     @cached_property
     def density_fuels_paired(self) -> DataFrame:
-        return violin_density(self.fuels_long_paired, "year", ["fuel_class", "trt_project"], "mass_tons_ac")
+        return violin_density(self._paired_fuels(self._figure_fuels), "year", ["fuel_class", "trt_project"], "mass_tons_ac")
 
     @cached_property
     def paired_ba_lines(self) -> DataFrame:
