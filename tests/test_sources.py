@@ -77,7 +77,7 @@ def test_lineage_needs_a_shared_folder(spark, tmp_path, monkeypatch):
     folder = spark.conf.get("spark.checkpoint.dir")
     monkeypatch.setattr(shared, "SETTING", "spark.checkpoint.none")
     monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
-    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "yarn"))
+    monkeypatch.setattr(spark.sparkContext, "master", "yarn")
     with pytest.raises(ValueError, match="set spark.checkpoint.none"):
         cut_lineage(frame)
     monkeypatch.setattr(shared, "SETTING", "spark.checkpoint.dir")

@@ -13,7 +13,7 @@ from understory.operators.spatial import grid_cell
 from understory.plans.inventory import Inventory
 from understory.profiles import ONE_YEAR, Corrections, Profile, RecodePlots, SetValue
 from understory.sources import schemas
-from understory.sources.tables import add_file_position, bind_surveys, read_table
+from understory.sources.tables import bind_surveys, read_table
 
 TREE_YEAR = "case when year(l_shipdate) % 2 = 0 then '2024' else '2025' end"
 # Lines that field corrections are for, at any scale: a diameter, a number, and a
@@ -115,10 +115,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trees(spark: SparkSession, sf_dir: str, years: bool = True) -> DataFrame:
-    """Tree records in file order."""
-    lines = add_file_position(table(spark, sf_dir, "lineitem"))
+    """Tree records as they are read."""
+    lines = table(spark, sf_dir, "lineitem")
     year = [f"{TREE_YEAR} as year"] if years else []
-    return lines.selectExpr(*year, *_named(TREES), "src_row")
+    return lines.selectExpr(*year, *_named(TREES))
 
 
 def plots(spark: SparkSession, sf_dir: str, years: bool = True) -> DataFrame:

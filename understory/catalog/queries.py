@@ -18,7 +18,7 @@ from understory.operators import checks, corrections, dimension, duplicates, fig
 from understory.plans.inventory import Inventory
 from understory.profiles import Profile, RecodePlots
 from understory.sources import schemas
-from understory.sources.tables import bind_surveys
+from understory.sources.tables import add_file_position, bind_surveys
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -194,7 +194,7 @@ def survey_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the plot are taken by the identifiers they have in the source, so the scan reads only those."""
     rules = inputs.CORRECTIONS
     surveys = [(year, inputs.FINGERPRINT_PLOT) for year in ("2024", "2025")]
-    rows = inputs.trees(spark, sf_dir).where(duplicates.in_surveys(duplicates.source_surveys(surveys, rules.recodes)))
+    rows = add_file_position(inputs.trees(spark, sf_dir)).where(duplicates.in_surveys(duplicates.source_surveys(surveys, rules.recodes)))
     fixed = corrections.set_values(corrections.recode_plot_ids(rows, rules.recodes), rules.tree_values)
     return checks.survey_fingerprint(fixed, inputs.FINGERPRINT_PLOT)
 

@@ -76,6 +76,7 @@ def keep_later_surveys(
     keys: Sequence[str] = TREE_KEY,
     position: str = POSITION,
     only: Column | None = None,
+    others: DataFrame | None = None,
 ) -> DataFrame:
     """In the listed surveys, drop the first occurrence of every tree.
 
@@ -89,15 +90,20 @@ def keep_later_surveys(
     columns, so the split is a plain filter the scan can prune files by; only
     their rows are shuffled. ``only`` is a condition on source columns for rows of
     the other surveys, for callers that drop rows afterwards anyway; it must not be
-    applied before trees of the listed ones are compared.
+    applied before trees of the listed ones are compared. ``others`` is the table as it
+    is read without positions, from which rows of the other surveys are then taken;
+    the result has no positions either.
     """
     surveys = list(surveys)
     repeated = [s for i, s in enumerate(surveys) if s in surveys[:i]]
     listed = source_surveys(dict.fromkeys(surveys), list(recodes))
-    others = trees.where(~in_surveys(listed)) if listed else trees
-    others = correct(others if only is None else others.where(only))
+    rest = trees if others is None else others
+    rest = rest.where(~in_surveys(listed)) if listed else rest
+    rest = correct(rest if only is None else rest.where(only))
     if not listed:
-        return others
+        return rest
     kept = later_rows(correct(trees.where(in_surveys(listed))), keys, position)
-    result = others.unionByName(kept)
+    result = rest.unionByName(kept.select(*rest.columns))
+    if repeated and others is not None:
+        raise ValueError("a survey that is listed twice needs positions throughout")
     return keep_later_surveys(result, repeated, keys=keys, position=position) if repeated else result

@@ -24,6 +24,7 @@ from understory.operators.spatial import attach_elevation, drop_geometry, grid_c
 from understory.operators.trees import CELL_MEASURES, SPECIES, SPECIES_SIZE
 from understory.profiles import Profile
 from understory.sources.shared import cut_lineage
+from understory.sources.tables import POSITION, add_file_position
 
 # Closed domains of the elevation figures; a null class is a group as well.
 ELEV_MEASURES = {"measure": figures.VIOLIN_MEASURES, "elev_class": fv.ELEV_CLASSES}
@@ -33,8 +34,8 @@ ELEV_FUELS = {"fuel_class": fuels.LONG_CLASSES, "elev_class": fv.ELEV_CLASSES}
 class Inventory:
     """Summaries of one inventory under one profile.
 
-    ``plots``, ``trees`` and ``fuels`` are the united survey tables; ``trees``
-    carries its file position when surveys have to be deduplicated. ``dem`` is
+    ``plots``, ``trees`` and ``fuels`` are the united survey tables; where trees have
+    to be compared, ``trees`` carries its position or was just read from Parquet. ``dem`` is
     the elevation raster as a table and ``cell`` computes its keys.
     """
 
@@ -89,15 +90,24 @@ class Inventory:
         """Trees after corrections, without the first entry of resurveyed plots."""
         return self._corrected_trees()
 
-    def _corrected_trees(self, only: Column | None = None) -> DataFrame:
+    @cached_property
+    def positioned_trees(self) -> DataFrame:
+        """Raw trees with their position in the file, which only comparisons of trees need."""
+        raw = self._raw["trees"]
+        return raw if POSITION in raw.columns else add_file_position(raw)
+
+    def _corrected_trees(self, measured: bool = False, only: Column | None = None) -> DataFrame:
+        """``measured``: rows are not told apart any more, so most are read without a position."""
         rules = self.profile.corrections
+        once = len(set(rules.keep_later)) == len(rules.keep_later)
+        bare = self._raw["trees"].drop(POSITION) if measured and once else None
 
         def correct(frame: DataFrame) -> DataFrame:
             recoded = corrections.recode_plot_ids(frame, rules.recodes)
             return corrections.set_values(recoded, rules.tree_values)
 
-        return duplicates.keep_later_surveys(
-            self._raw["trees"], rules.keep_later, correct, rules.recodes, only=only)
+        compared = self.positioned_trees if rules.keep_later else self._raw["trees"]
+        return duplicates.keep_later_surveys(compared, rules.keep_later, correct, rules.recodes, only=only, others=bare)
 
     @cached_property
     def measured_trees(self) -> DataFrame:
@@ -105,7 +115,7 @@ class Inventory:
         fixes = [fix.match.get("dbh_cm") for fix in self.profile.corrections.tree_values if fix.column == "dbh_cm"]
         settled = all(old is not None and old >= fv.MIN_DBH_CM for old in fixes)
         large = F.col("dbh_cm") >= fv.MIN_DBH_CM
-        return trees.measure_trees(self._corrected_trees(large) if settled else self.trees, self.profile)
+        return trees.measure_trees(self._corrected_trees(True, large if settled else None), self.profile)
 
     @cached_property
     def fuels(self) -> DataFrame:
