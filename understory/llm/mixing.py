@@ -27,8 +27,9 @@ STEPS = 30
 TOLERANCE = 1e-4  # of the targets, at which steps end
 
 
-def _features(text: Column) -> Column:
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
+def _words(text: str) -> Column:
+    """Lower-case runs of other than white space."""
+    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), "").alias("_words")
 
 
 def _vectors(frame: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> LogisticRegressionModel |
     known = labels.select("doc_id", "quality", "toxic").dropna().where("quality in (0, 1) and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg((2 * F.max("quality") + F.max("toxic")).cast("double").alias("_label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    rows = docs.select("doc_id", _features(F.col("text")).alias("_words")).join(sample, "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("_label", _words("text"))
     rows = cut_lineage(_vectors(rows).select("_vector", "_label"))
     if rows.isEmpty():
         return None
@@ -50,12 +51,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> LogisticRegressionModel |
     ).fit(rows)
 
 
-def domain_chances(docs: DataFrame, model: LogisticRegressionModel | None, keep: list[str]) -> DataFrame:
-    """``keep`` and p_<domain> columns; without a model all domains are alike."""
+def domain_chances(docs: DataFrame, model: LogisticRegressionModel | None) -> DataFrame:
+    """doc_id, n_tokens and p_<domain> columns; without a model all domains are alike."""
+    keep = ["doc_id", F.size("_words").cast("long").alias("n_tokens")]
+    words = docs.select("doc_id", _words("text"))
     if model is None:
         even = [F.lit(1.0 / len(DOMAINS)).alias(f"p_{d}") for d in DOMAINS]
-        return docs.select(*keep, *even)
-    rows = _vectors(docs.select(*keep, _features(F.col("text")).alias("_words")))
+        return words.select(*keep, *even)
+    rows = _vectors(words)
     chances = vector_to_array("_chances")
     # labels that never occur at the end of the list have no chance in the model
     picked = [F.coalesce(F.get(chances, F.lit(i)), F.lit(0.0)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
@@ -120,10 +123,8 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, shares: dict[str, float]
     labels of one document the larger count.
     """
     shares = shares or TARGETS
-    n_tokens = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", 0).otherwise(
-        F.regexp_count(F.col("text"), F.lit(r"\S+"))).cast("long").alias("n_tokens")
     model = fit_domains(docs, labels)
-    rows = cut_lineage(domain_chances(docs.select("doc_id", "text", n_tokens), model, ["doc_id", "n_tokens"]))
+    rows = cut_lineage(domain_chances(docs, model))
     total = total_tokens or rows.agg(F.sum("n_tokens")).first()[0] or 0
     rate, _ = fit_rates(rows, {d: s * total for d, s in shares.items()})
     return rows.withColumn("rate", rate)
