@@ -83,6 +83,7 @@ def test_odd_tables(spark, tmp_path, docs, labels):
 def test_windows_are_the_whole_text():
     text = "A b  C\n" * 37
     assert b"".join(windows(text)).split() == text.lower().encode().split()
+    assert train([], ["a b"], 0.2).score("any text") == pytest.approx(0.2) and train(["x"], [], 1.0).score("y") > 0.99
     assert windows("") == windows(" \n") == [] and Model(b"a", b"b", prior=0.2).score(" ") == 0.2
 
 

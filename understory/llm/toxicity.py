@@ -11,6 +11,7 @@ weighed together by a logistic curve fitted on further labelled documents.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -27,6 +28,7 @@ WINDOW_WORDS = 8
 BASE_BYTES = 32_768
 DISTINCT_BYTES = 2048
 STRING_LENGTHS = range(5, 14)  # with the space before the word
+LEAST_DOCUMENTS = 4
 LEAST_SHARE = 0.02  # of toxic documents that a string of the toxic dictionary is in
 LEAST_LIFT = 10  # times as common in toxic documents as in ordinary ones
 LEAST_DEVIATION = 5  # standard deviations that the toxic count is above the expected one
@@ -42,22 +44,31 @@ def windows(text: str) -> list[bytes]:
     ]
 
 
-def _strings(text: str, wanted: dict | None = None) -> set[str]:
-    """Beginnings of a text's words, and the words themselves, with the spaces around them."""
+def _beginnings(text: str) -> set[str]:
+    """The shortest strings that a text's words begin with."""
+    return {f" {word} "[:STRING_LENGTHS[0]] for word in text.lower().split()}
+
+
+def _strings(text: str, beginnings: set[str]) -> set[str]:
+    """Beginnings of a text's words, and the words themselves, with the spaces around them; only those that begin so."""
     out = set()
     for word in set(text.lower().split()):
         padded = f" {word} "
-        out.update(padded[:n] for n in STRING_LENGTHS if n < len(padded))
-        if len(padded) <= 2 * STRING_LENGTHS[-1]:
-            out.add(padded)
-    return out if wanted is None else out & wanted.keys()
+        if padded[:STRING_LENGTHS[0]] in beginnings:
+            out.update(padded[:n] for n in STRING_LENGTHS if n < len(padded))
+            if len(padded) <= 2 * STRING_LENGTHS[-1]:
+                out.add(padded)
+    return out
 
 
 def distinct_strings(toxic: list[str], ordinary: list[str]) -> bytes:
     """What marks toxic documents, the most telling last, where a window finds it at the least cost."""
-    counts = Counter(s for t in toxic for s in _strings(t))
-    counts = {s: c for s, c in counts.items() if c >= max(4, LEAST_SHARE * len(toxic))}
-    other = Counter(s for t in ordinary for s in _strings(t, counts))
+    least = max(LEAST_DOCUMENTS, LEAST_SHARE * len(toxic))
+    # a string is in no more documents than its beginning, which saves counting most
+    common = {s for s, c in Counter(s for t in toxic for s in _beginnings(t)).items() if c >= least}
+    counts = {s: c for s, c in Counter(s for t in toxic for s in _strings(t, common)).items() if c >= least}
+    common = {s[:STRING_LENGTHS[0]] for s in counts}
+    other = Counter(s for t in ordinary for s in _strings(t, common) & counts.keys())
     telling = []
     for s, c in counts.items():
         expected = (other[s] + 0.5) / len(ordinary) * len(toxic)
@@ -77,9 +88,13 @@ def distinct_strings(toxic: list[str], ordinary: list[str]) -> bytes:
 
 def _common(ordinary: list[str]) -> bytes:
     """A dictionary trained on ordinary windows; their plain text where they are too few to train on."""
-    samples = [w for t in ordinary for w in windows(t)]
-    order = np.random.default_rng(0).permutation(len(samples))[:100_000]
-    samples = [samples[i] for i in order]
+    sizes = [-(-len(t.split()) // WINDOW_WORDS) for t in ordinary]
+    chosen = set(np.random.default_rng(0).permutation(sum(sizes))[:100_000].tolist())
+    samples, at = [], 0
+    for text, n in zip(ordinary, sizes, strict=True):
+        samples += [w for i, w in enumerate(windows(text), at) if i in chosen]
+        at += n
+    samples = [samples[i] for i in np.random.default_rng(1).permutation(len(samples))]
     try:
         return zstd.train_dictionary(BASE_BYTES * 2, samples, k=32, d=8).as_bytes()[-BASE_BYTES:]
     except zstd.ZstdError:
@@ -147,13 +162,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _log_odds(share: float) -> float:
+    return math.log(max(share, 1e-6) / max(1 - share, 1e-6))
+
+
 def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
     """Six tenths of either list make the dictionaries, two the evidence of savings, two the curve."""
     toxic, ordinary = list(dict.fromkeys(filter(None, toxic))), list(dict.fromkeys(filter(None, ordinary)))
     cuts = [(x[: len(x) * 6 // 10], x[len(x) * 6 // 10: len(x) * 8 // 10], x[len(x) * 8 // 10:]) for x in (toxic, ordinary)]
     (t1, t2, t3), (o1, o2, o3) = cuts
     if min(map(len, (t1, t2, t3, o1, o2, o3))) == 0:
-        return Model(b"\x01", b"\x01", prior=prior)
+        model = Model(b"\x01", b"\x01", prior=prior)
+        model.weights[-1] = _log_odds(prior)
+        return model
     base, telling = _common(o1), distinct_strings(t1, o1)
     model = Model(base + b"\x01" * max(1, len(telling)), base + (telling or b"\x01"), prior=prior)
     seen = [sum((model.savings(t) for t in part), np.zeros(len(SAVINGS))) for part in (o2, t2)]
@@ -164,9 +185,9 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
         # documents of either kind count as often as they occur among the labelled
         x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
         model.weights = _logistic(x, y)
-        model.weights[-1] += math.log(prior / (1 - prior)) - math.log(y.mean() / (1 - y.mean()))
+        model.weights[-1] += _log_odds(prior) - _log_odds(y.mean())
     else:
-        model.weights[-1] = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
+        model.weights[-1] = _log_odds(prior)
     return model
 
 
@@ -178,19 +199,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train_on(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled documents that are not held out; a bounded number of either kind.
 
-    Labels that are null or neither 0 nor 1 are not used; of several labels of
+    The sample is learned from in one task, which returns the model; no text comes
+    to the driver. Labels that are null or neither 0 nor 1 are not used; of several labels of
     one document the largest counts.
     """
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    texts = []
-    for kind, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
-        picked = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        rows = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text").collect()
-        texts.append([r["text"] for r in sorted(rows, key=lambda r: (hash_order(r["doc_id"]), r["text"] or ""))])
     total = sum(n.values())
-    return train(texts[0], texts[1], n.get(1, 0) / total if total else 0.0)
+    prior = n.get(1, 0) / total if total else 0.0
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(order=rows["doc_id"].map(hash_order), text=rows["text"].fillna("")).sort_values(["order", "text"])
+        texts = [rows.loc[rows["toxic"] == kind, "text"].tolist() for kind in (1, 0)]
+        return pd.DataFrame({"model": [pickle.dumps(train(*texts, prior))]})
+
+    picked = [
+        known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        for kind, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))
+    ]
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    learned = sample.groupBy().applyInPandas(learn, "model binary").first()
+    return pickle.loads(learned["model"]) if learned else train([], [], prior)
 
 
 def hash_order(doc_id: int) -> int:
