@@ -201,6 +201,34 @@ def test_fuzzy_passage_and_clean_documents(spark):
     assert found[3]["n_passages"] == found[4]["n_passages"] == 0
 
 
+@pytest.mark.parametrize("piece,step", [(30, 10), (45, 5), (12, 6)])
+def test_passage_whose_pieces_are_elsewhere(spark, piece, step):
+    """Documents that hold excerpts of the passage come first for its seeds; those that hold all of it still meet."""
+    from understory.llm.passages import substring_duplicates
+
+    shared = prose(50, 55)
+    pieces = [shared[k:k + piece] for k in range(0, len(shared) - piece + 1, step)]
+    pieces = [(i, p) for i, p in enumerate(pieces * 12)]
+    rows = [(i, prose(1000 + i, 40) + p + prose(3000 + i, 40)) for i, p in pieces]
+    rows += [(9001, prose(51, 70) + shared + prose(52, 70)), (9002, prose(53, 90) + shared + prose(54, 30))]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in substring_duplicates(frame).collect()}
+    for i, lo in ((9001, 70), (9002, 90)):
+        assert set(range(lo, lo + 55)) <= {p for a, b in found[i]["passages"] for p in range(a, b)}
+    assert set(found[9001]["first_docs"]) & set(found[9002]["first_docs"])
+
+
+def test_unlike_words_beside_an_exact_run():
+    """They are left out of the passage, which stays."""
+    from understory.llm.passages import align_chain
+
+    same, filler = np.arange(50), np.arange(1000, 1064)
+    other = np.where(np.arange(64) % 9 < 5, filler, filler + 5000)
+    a, b = np.concatenate([filler, same, filler]), np.concatenate([other, same, other])
+    start, end, o_start, o_end, identity = align_chain([64, 64 + 44], [64, 64 + 44], a, b)
+    assert start <= 64 and end >= 114 and (start, end) == (o_start, o_end) and identity >= 0.8
+
+
 def test_chains_go_up_on_both_sides():
     straight = [(x, x + 100) for x in range(0, 60, 5)]
     (xs, ys), *rest = chain_matches([*straight, (12, 5), (30, 400), (31, 90)])
