@@ -50,6 +50,19 @@ def test_furniture_inside_the_article():
     assert main_text(f"<body><article>{inside}</article></body>") == TEXT
 
 
+LEAD, REST = " ".join(f"lead{i}" for i in range(40)), " ".join(f"rest{i}" for i in range(200))
+BOX = " ".join(f"box{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("shell", ["<article>%s</article>", "<main>%s</main>", "<div class='post'>%s</div>"])
+@pytest.mark.parametrize("box", ["<form>%s <input></form>", "<div class='advert'><p>%s</p></div>", "<aside><ul><li>%s</li></ul></aside>"])
+def test_long_furniture_inside_the_article(shell, box):
+    for first, last in ((LEAD, REST), (REST, LEAD), (LEAD, LEAD)):
+        inside = f"<p>{first}</p>{box % BOX}<p>{last}</p>"
+        page = f"<body><nav>{BOX}</nav>{shell % inside}<div id='comments'><p>{BOX}</p></div></body>"
+        assert main_text(page) == f"{first} {last}"
+
+
 ODD = [(1, None), (2, ""), (3, "   "), (4, "<"), (5, "<p"), (6, "plain words only"), (7, "<p>a<p>b<br>c"), (8, "</div></p>"),
        (9, "<!-- open"), (10, "<script>never closed <p>x</p>"), (11, "<p title=\"a>b\">q &lt;tag&gt; &#233; &eacute &nope;</p>"),
        (12, "<p>" + "word " * 200_000 + "</p>"), (13, "<div>" * 20_000 + "deep"), (14, "<p a='" * 3000), (6, "plain words only")]

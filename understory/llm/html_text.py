@@ -4,7 +4,8 @@ A page becomes a sequence of words and tags. Words score by the elements they
 are in, above zero in running text and below it in page furniture; tags score
 below zero, most where furniture begins. The weights come from pages labelled by
 hand. One linear scan finds the contiguous run with the highest sum; the text is
-the run's words that score above zero, blocks apart by one space.
+the run's words that score above zero, blocks apart by one space. Furniture between
+parts of the main text counts once, however long it is.
 """
 
 from __future__ import annotations
@@ -172,6 +173,30 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
+def _bounded(parts: list[tuple[int, str, str]], scores: list[float], most: float) -> list[float]:
+    """Scores where furniture between two parts of the main text costs ``most`` at the most, as its two tags do.
+
+    Main text is what is in main elements, or all text outside furniture where there are none.
+    """
+    for own in ("text:main", "text:plain"):
+        places = [i for i, (kind, key, text) in enumerate(parts) if kind == TEXT and key == own and not text.isspace()]
+        if places:
+            break
+    out = list(scores)
+    i, last = (places[0], places[-1]) if places else (0, 0)
+    while i < last:
+        if scores[i] > 0:
+            i += 1
+            continue
+        end = i
+        while end < last and scores[end] <= 0:
+            end += 1
+        if any("furniture" in key for _, key, _ in parts[i:end]) and sum(scores[i:end]) < most:
+            out[i:end] = [most] + [0.0] * (end - i - 1)
+        i = end
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The page's main text, empty if there is none; references decoded, white space as single spaces."""
     if not page:
@@ -181,7 +206,7 @@ def main_text(page: str | None) -> str:
     scores = [
         weigh.get(key, lowest) * (len(text.split()) if kind == TEXT else 1) for kind, key, text in parts
     ]
-    start, end = best_run(scores)
+    start, end = best_run(_bounded(parts, scores, weigh["open:furniture"] + weigh["close:furniture"]))
     out = []
     for (kind, _, text), score in zip(parts[start:end], scores[start:end], strict=True):
         if kind == TAG:
