@@ -63,6 +63,24 @@ def test_long_furniture_inside_the_article(shell, box):
         assert main_text(page) == f"{first} {last}"
 
 
+@pytest.mark.parametrize("shell", [
+    "<div id='page' class='has-sidebar'><article>%s</article></div>", "<div class='content no-comments'>%s</div>",
+    "<article class='post sharing'>%s</article>", "<main class='search-page'>%s</main>", "<form id='aspnetForm'>%s</form>",
+    "<form id='f'><div class='page-with-menu'><nav>Home</nav><main>%s</main><div class='footer'>Imprint</div></div></form>"])
+def test_wrappers_with_furniture_names(shell):
+    for tail in ("", "<footer>All rights reserved</footer>"):
+        assert main_text(f"<body>{shell % MAIN}{tail}</body>") == TEXT
+
+
+def test_named_furniture_stays_furniture():
+    cards = "<div class='related'><article>A card of another story</article></div>"
+    notes = "<div id='comments'><article class='comment'><p>I like this.</p></article></div>"
+    for inner in (cards, notes, cards + notes):
+        assert main_text(f"<body><article>{MAIN}</article>{inner}</body>") == TEXT
+    assert main_text(f"<body><main>{MAIN}<div id='comments'><p>{BOX} {BOX}</p></div></main></body>") == TEXT
+    assert main_text(f"<body><article>{MAIN}<p>So <math><mi>x</mi></math> holds.</p></article></body>") == f"{TEXT} So x holds."
+
+
 ODD = [(1, None), (2, ""), (3, "   "), (4, "<"), (5, "<p"), (6, "plain words only"), (7, "<p>a<p>b<br>c"), (8, "</div></p>"),
        (9, "<!-- open"), (10, "<script>never closed <p>x</p>"), (11, "<p title=\"a>b\">q &lt;tag&gt; &#233; &eacute &nope;</p>"),
        (12, "<p>" + "word " * 200_000 + "</p>"), (13, "<div>" * 20_000 + "deep"), (14, "<p a='" * 3000), (6, "plain words only")]

@@ -5,7 +5,8 @@ are in, above zero in running text and below it in page furniture; tags score
 below zero, most where furniture begins. The weights come from pages labelled by
 hand. One linear scan finds the contiguous run with the highest sum; the text is
 the run's words that score above zero, blocks apart by one space. Furniture between
-parts of the main text counts once, however long it is.
+parts of the main text counts once, however long it is, and an element that
+holds the main text is no furniture, whatever its name.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
           "tt", "u", "var", "wbr", "img"}
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
                 "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "svg", "math",
+FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "svg",
              "canvas", "object", "audio", "video", "fieldset", "datalist"}
 FURNITURE_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "adslot", "sponsor", "sponsored", "promo",
@@ -40,6 +41,7 @@ FURNITURE_NAMES = {
     "recommendations", "pagination", "pager", "copyright", "legal", "disclaimer", "form", "skip",
 }
 MAIN = {"article", "main"}
+MAY_WRAP = {"form", "fieldset"}  # furniture that may hold a whole page
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>?|</?[a-zA-Z][^\s/>]*+(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>|</?[a-zA-Z][^>]*+(?:>|\Z)",
@@ -63,17 +65,36 @@ def _kind(name: str, tag: str, inside_main: bool) -> str:
     return "main" if name in MAIN else "plain"
 
 
-def tokens(page: str) -> list[tuple[int, str, str]]:
+Token = tuple[int, str, str]
+
+
+def tokens(page: str) -> list[Token]:
     """(TAG, key, separator) and (TEXT, context key, text) of a page in order.
 
     Keys are what weights are learned for: a tag's part and whether it opens or
     closes, a text's nearest telling element. Elements left open are closed as
     far as later tags tell; raw elements and comments are passed over whole.
     """
-    out: list[tuple[int, str, str]] = []
+    out, wrapping = _scan(page, frozenset())
+    return _scan(page, wrapping)[0] if wrapping else out
+
+
+def _scan(page: str, spared: frozenset[int]) -> tuple[list[Token], frozenset[int]]:
+    """Tokens, where the elements at ``spared`` are no furniture, and the places of elements that hold the main text.
+
+    Of elements called furniture by their name, these are the ones around most of what
+    is in articles; where there is none, around the heading and most of the
+    page, or four fifths of a page without a heading.
+    """
+    out: list[Token] = []
     stack: list[tuple[str, str]] = []  # element, part
     opened: Counter[str] = Counter()  # elements on the stack
     at = furniture = main = 0
+    sure = 0  # open elements that are furniture for certain
+    named = 0  # open main elements that go by a furniture name
+    held = [0, 0, 0]  # words outside such furniture, those of them in main elements without a furniture name, headings
+    doubtful: dict[int, tuple[int, bool, bool, list[int]]] = {}  # by depth: place, inside main, main itself, held so far
+    done: list[tuple[int, bool, bool, list[int]]] = []
 
     def context() -> str:
         return "text:furniture" if furniture else "text:main" if main else "text:plain"
@@ -84,11 +105,29 @@ def tokens(page: str) -> list[tuple[int, str, str]]:
         opened[element] -= 1
         furniture -= part == "furniture"
         main -= part == "main"
+        if part == "furniture":
+            leave(len(stack))
         return part
 
+    def leave(depth: int) -> None:
+        nonlocal sure, named
+        if depth in doubtful:
+            place, inside, itself, before = doubtful.pop(depth)
+            named -= itself
+            done.append((place, inside, itself, [b - a for a, b in zip(before, held, strict=True)]))
+        else:
+            sure -= 1
+
+    def see(text: str) -> None:
+        if not sure:
+            n = len(text.split())
+            held[0] += n
+            held[1] += n if main else 0
+
     while found := _TOKEN.search(page, at):
         if found.start() > at:
             out.append((TEXT, context(), page[at:found.start()]))
+            see(out[-1][2])
         tag, at = found[0], found.end()
         if tag[1] in "!?":
             continue
@@ -105,6 +144,9 @@ def tokens(page: str) -> list[tuple[int, str, str]]:
         while stack and stack[-1][0] in SELF_CLOSING.get(name, ()):
             pop()
         part = _kind(name, tag, main > 0)
+        if found.start() in spared:
+            part = "main" if name in MAIN else "plain"
+        held[2] += name == "h1" and not sure
         out.append((TAG, f"open:{part}", space))
         if name in RAW:
             end = _RAW_END[name].search(page, at)
@@ -112,11 +154,31 @@ def tokens(page: str) -> list[tuple[int, str, str]]:
         elif name not in VOID and not tag.endswith("/>"):
             stack.append((name, part))
             opened[name] += 1
+            if part == "furniture":
+                if name in MAY_WRAP or name not in FURNITURE and name != "header":
+                    doubtful[len(stack) - 1] = (found.start(), main + named > 0, name in MAIN, held.copy())
+                    named += name in MAIN
+                else:
+                    sure += 1
             furniture += part == "furniture"
             main += part == "main"
     if at < len(page):
         out.append((TEXT, context(), page[at:]))
-    return out
+        see(out[-1][2])
+    for depth in list(doubtful):
+        leave(depth)
+    words, in_main, headings = held
+
+    def wraps(inside: bool, itself: bool, own: list[int]) -> bool:
+        if inside:
+            return False
+        if in_main:
+            return 2 * own[1] >= in_main
+        if headings and not own[2]:
+            return False
+        return 2 * own[0] > words if own[2] or itself else 5 * own[0] >= 4 * words > 0
+
+    return out, frozenset(place for place, inside, itself, own in done if wraps(inside, itself, own))
 
 
 # Labelled by hand: what lies between [[ and ]] is the main text.
@@ -173,7 +235,7 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
-def _bounded(parts: list[tuple[int, str, str]], scores: list[float], most: float) -> list[float]:
+def _bounded(parts: list[Token], scores: list[float], most: float) -> list[float]:
     """Scores where furniture between two parts of the main text costs ``most`` at the most, as its two tags do.
 
     Main text is what is in main elements, or all text outside furniture where there are none.
