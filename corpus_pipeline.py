@@ -25,9 +25,12 @@ TOXIC = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half; learned from the labelled ones that are not held out."""
+    """Documents that score below one half; learned from the labelled ones that are not held out.
+
+    Those without a word stay, and all do where there is too little to learn from.
+    """
     model = train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(toxicity_score(docs, model) < TOXIC)
+    return docs.where(toxicity_score(docs, model, wordless=0.0) < TOXIC) if model.fitted else docs
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,6 +97,19 @@ def test_odd_rows_pass(spark, tmp_path):
             assert left == sorted([(1, None), (2, ""), (None, long), (3, long), (5, "[secret]"), (None, None)], key=repr)
 
 
+def test_mostly_toxic_labels(spark, tmp_path):
+    """Rows without a word stay whatever the labelled share, and all rows do where nothing could be learned."""
+    blank = [(9001, None), (9002, ""), (9003, " \n\u00a0"), (None, None)]
+    for name, n in (("few", 4), ("many", 200)):
+        rows = [(i, f"swine rotter blast word{i} more{i % 7}" if i % 5 else f"kind words only{i} and more{i % 7}") for i in range(n)]
+        spark.createDataFrame([(i, 1, int(i % 5 > 0), "x") for i, _ in rows], "doc_id long, quality int, toxic int, text string"
+                              ).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.createDataFrame(rows + blank, "doc_id long, text string")
+        left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{name}").collect()}
+        assert set(blank) <= left
+        assert left == {*rows, *blank} if name == "few" else len(left) < n
+
+
 def test_registered(spark):
     import __spark_entry__
 

@@ -119,6 +119,7 @@ class Model:
     evidence: np.ndarray = field(default_factory=lambda: np.zeros(len(SAVINGS)))  # by savings
     weights: np.ndarray = field(default_factory=lambda: np.zeros(6))  # of the features and a constant
     prior: float = 0.0
+    fitted: bool = False  # whether the weights were learned from documents of both kinds
 
     def __post_init__(self):
         self._packers = None
@@ -141,10 +142,10 @@ class Model:
         total = float(counts @ self.evidence)
         return np.array([total / n, np.tanh(total / 10), present.max(), present.max() * math.log1p(n), math.log1p(n), 1.0])
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | None, wordless: float | None = None) -> float:
         counts = self.savings(text) if text else np.zeros(0)
         if not counts.sum():
-            return self.prior
+            return self.prior if wordless is None else wordless
         return float(1 / (1 + np.exp(-np.clip(self.features(counts) @ self.weights, -30, 30))))
 
 
@@ -184,7 +185,7 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
     if len({y for _, y in rows}) == 2:
         # documents of either kind count as often as they occur among the labelled
         x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-        model.weights = _logistic(x, y)
+        model.weights, model.fitted = _logistic(x, y), True
         model.weights[-1] += _log_odds(prior) - _log_odds(y.mean())
     else:
         model.weights[-1] = _log_odds(prior)
@@ -228,12 +229,12 @@ def hash_order(doc_id: int) -> int:
     return (doc_id * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 64) >> 16
 
 
-def toxicity_score(docs: DataFrame, model: Model, text: str = "text") -> Column:
-    """The chance of label 1; empty and null texts, and any text without a model, get the labelled share."""
+def toxicity_score(docs: DataFrame, model: Model, text: str = "text", wordless: float | None = None) -> Column:
+    """The chance of label 1; texts without a word get ``wordless`` or the labelled share, as does any text without a model."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score(t) for t in texts], dtype="float64")
+        return pd.Series([sent.value.score(t, wordless) for t in texts], dtype="float64")
 
     return score(F.coalesce(F.col(text), F.lit("")))
