@@ -85,8 +85,7 @@ def test_no_rows_and_no_anchors(spark):
 def test_intervals_hold_and_pass_over_rows():
     import pandas as pd
 
-    rng = np.random.default_rng(0)
-    rows = rng.standard_normal((500, 64)) + 0.6
+    rows = np.array([r[2] for r in clustered(0, 500, 64)])
     frame = pd.DataFrame({"v": list(rows), "node": range(500), "vec_id": range(500), "label": 0})
     index = pd.concat(H._encode(iter([frame])))
     to = H.Anchors(index[:40], 64)

@@ -86,7 +86,7 @@ def test_bands_and_chunks(spark, monkeypatch, band, chunk):
 
 
 def test_long_conversations(spark):
-    rows = [(i, t, "user", f"{t}") for i in (1, 2) for t in range(40 + i)] + [(3, t, "user", f"{t}") for t in range(20)]
+    rows = [(i, t, "user", f"{t}") for i in (1, 2) for t in range(20 + i)] + [(3, t, "user", f"{t}") for t in range(10)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert found(prefix_trie(turn_sequences(frame))) == plain(sequences(rows))
 
