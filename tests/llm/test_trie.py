@@ -76,9 +76,12 @@ def test_query_rebuilds_conversations(spark, tmp_path):
     assert found(Q.op13_prefix_trie(spark, str(tmp_path))) == plain(convs)
 
 
-@pytest.mark.parametrize("band,chunk", [(2, 3), (3, 1)])
-def test_bands_and_chunks(spark, monkeypatch, band, chunk):
-    monkeypatch.setattr(P, "BAND", band)
+@pytest.mark.parametrize("starts,widest,group,chunk", [((0, 2), 3, 4096, 3), ((0, 1), 4, 3, 1)])
+def test_bands_groups_and_chunks(spark, monkeypatch, starts, widest, group, chunk):
+    """Narrow bands, and groups of which some are peeled in a task and some by levels."""
+    monkeypatch.setattr(P, "STARTS", starts)
+    monkeypatch.setattr(P, "WIDEST", widest)
+    monkeypatch.setattr(P, "GROUP_ROWS", group)
     monkeypatch.setattr(P, "IDS_PER_CHUNK", chunk)
     rows = ROWS + [(1000 + i, t, "u", f"{t}") for i in range(30) for t in range(6)]
     frame = spark.createDataFrame([(*r, 1, "clash") for r in rows], COLUMNS)
@@ -86,7 +89,7 @@ def test_bands_and_chunks(spark, monkeypatch, band, chunk):
 
 
 def test_long_conversations(spark):
-    rows = [(i, t, "user", f"{t}") for i in (1, 2) for t in range(20 + i)] + [(3, t, "user", f"{t}") for t in range(10)]
+    rows = [(i, t, "user", f"{t}") for i in (1, 2) for t in range(300 + i)] + [(3, t, "user", f"{t}") for t in range(80)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert found(prefix_trie(turn_sequences(frame))) == plain(sequences(rows))
 
