@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from understory.llm.components import components
-from understory.llm.keys import join_by_frequency
+from understory.llm.keys import join_by_frequency, with_ids
 from understory.llm.words import hash_words, in_chunks, mix, shingles
 from understory.sources.shared import cut_lineage
 
@@ -251,6 +251,8 @@ def _verified_links(rows: DataFrame, classes: DataFrame, proposed: DataFrame) ->
     meets = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "class_id", "node", "content", "proposed", "block",
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    texts = rows.join(meets, rows["doc_id"] == meets["class_id"]).select(
+    # only texts of proposed classes move, at any size by the same kind of join
+    wanted = with_ids(rows, members.select("class_id"))
+    texts = wanted.join(meets.hint("merge"), wanted["doc_id"] == meets["class_id"]).select(
         "node", "content", "text", "proposed", "block", "low", "high")
     return texts.groupBy("proposed", "low", "high").applyInPandas(_verify, "a long, b long")
