@@ -135,3 +135,39 @@ def test_checks(trees_of, plots_of):
     assert rows(checks.repeated_keys(plots, keys)) == [("2024", "A", 2), ("2024", "B", 2)]
     assert rows(checks.oversize_trees(trees, keys)) == [("2024", "A", 1)]
     assert rows(checks.species_frequency(trees)) == [("PSME", 2)]
+
+
+def test_a_frequent_key_is_spread_in_proportion(spark):
+    """A key with a third of the rows gets a third of the pieces, others none; nulls are keys."""
+    from understory.operators import joins
+
+    keys = [("a", 4000), (None, 2000), ("b", 2), ("c", 1)]
+    data = [(k, i) for k, n in keys for i in range(n)] + [(f"r{i}", i) for i in range(6000)]
+    rows_ = spark.createDataFrame(data, "k string, i long")
+    table = rows_.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    met = joins.join_by_frequency(rows_, table, ["k"], F.col("n"), F.col("i"))
+    assert met.columns == ["k", "i", "n", "first"] and met.count() == len(data)
+    assert met.where("n is null or first != 0 and k not like 'r%'").count() == 0
+    pieces = {k: round(n * joins.PIECES / len(data)) for k, n in keys[:2]}
+    spread = spark.createDataFrame([(pieces[k], i) for k, n in keys[:2] for i in range(n)], "p int, i long")
+    used = dict(map(tuple, spread.groupBy("p").agg(F.countDistinct(joins.salt(F.col("p"), F.col("i")))).collect()))
+    assert used[pieces["a"]] > 0.5 * 4000 and used[pieces[None]] > 0.5 * 2000
+
+
+def test_pieces_of_a_frequent_key_meet_in_many_tasks(spark):
+    from understory.operators import duplicates
+
+    data = [("2024", "P", 1.0, i) for i in range(3000)] + [("2024", f"Q{i}", 1.0, 3000 + i) for i in range(6000)]
+    trees = spark.createDataFrame(data, "year string, plot_id string, tree_num double, src_row long")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        later = duplicates.later_rows(trees)
+        tasks = later.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in tasks) == 2999
+    assert len(tasks) >= 12 and max(r["count"] for r in tasks) < 600

@@ -63,13 +63,65 @@ def test_closed_domain_names_every_column(spark):
         quantiles.exact_quantiles(frame, ["g", "h"], "v", {"m": 0.5}, {"g": ["a"]})
 
 
-def test_missed_rank_fails_the_job(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "_bracket", lambda place, p: F.struct(
-        F.lit(p).alias("p"), F.lit(0).alias("low_rank"), F.lit(1).alias("high_rank"), F.lit(0.5).alias("weight"),
-        F.lit(50.0).alias("low"), F.lit(60.0).alias("high")))
-    frame = spark.range(100).select(F.col("id").cast("double").alias("v"))
-    with pytest.raises(Exception, match="rank outside its bracket"):
-        quantiles.exact_quantiles(frame.withColumn("g", F.lit(1)), ["g"], "v", {"m": 0.5}).collect()
+def false_brackets(place, p):
+    """What a broken sketch would give: every wanted rank lies outside."""
+    position = (F.col("n") - 1) * p
+    low = F.floor(position)
+    return F.struct(
+        F.lit(p).alias("p"), low.alias("low_rank"), F.ceil(position).alias("high_rank"), (position - low).alias("weight"),
+        F.lit(1e300).alias("low"), F.lit(2e300).alias("high"))
+
+
+def test_missed_ranks_are_selected_exactly(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "_bracket", false_brackets)
+    rng = np.random.default_rng(11)
+    data = [("even", float(v)) for v in rng.normal(0, 1, 801)] + [("heavy", float(v)) for v in np.exp(rng.normal(0, 90, 500))]
+    data += [("signs", v) for v in (-0.0, 0.0, -1e-300, 1e-300, -5.0, 5.0, -1e308, 1e308)] + [("ties", 2.0)] * 30 + [("ties", -2.0)] * 31
+    data += [(None, float(v)) for v in range(7)] + [("single", 3.0), ("nulls", None)]
+    check(spark, data)
+    check(spark, data, closed={"g": ["even", "heavy", "signs", "ties", "single", "nulls"]})
+    frame = spark.createDataFrame([(float(v),) for v in range(100)], "v double")
+    assert quantiles.exact_quantiles(frame, [], "v", {"m": 0.5}).first().m == 49.5
+
+
+def test_one_missed_group_leaves_the_others(spark, monkeypatch):
+    """Only ranks that were missed are selected again; the results of the others are the bracket's."""
+    honest = quantiles._bracket
+
+    def sometimes(place, p):
+        broken = F.col("g") == "broken"
+        right, wrong = honest(place, p), false_brackets(place, p)
+        return F.when(broken, wrong.cast("struct<p:double,low_rank:long,high_rank:long,weight:double,low:double,high:double>")).otherwise(
+            right.cast("struct<p:double,low_rank:long,high_rank:long,weight:double,low:double,high:double>"))
+
+    monkeypatch.setattr(quantiles, "_bracket", sometimes)
+    rng = np.random.default_rng(12)
+    check(spark, [(g, float(v)) for g in ("broken", "fine") for v in rng.normal(0, 1, 300)])
+
+
+def test_bits_are_in_the_order_of_doubles(spark):
+    values = [-np.inf, -1e308, -2.0, -1.0, -1e-310, 0.0, 1e-310, 1.0, 2.0, 1e308, np.inf, np.nan]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    bits = [r.b for r in frame.select("i", quantiles.ordered_bits(F.col("v")).alias("b")).orderBy("i").collect()]
+    assert bits == sorted(bits) and len(set(bits)) == len(bits)
+
+
+def test_a_round_counts_bits_not_rows(spark, monkeypatch):
+    """No task orders a share of a group: a round's window runs over counts by 16 bits, not over values."""
+    frame = spark.range(1000).select(F.lit("a").alias("g"), F.rand(1).alias("_v"))
+    wanted = spark.createDataFrame([("a", 0.5, 500)], "g string, p double, rank long")
+    got = quantiles.select_ranks(frame, wanted, ["g"])
+    assert got.first().value == sorted(r._v for r in frame.collect())[500]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line]
+    assert len(windows) == 4 and all("next" in w and "_v#" not in w.split("windowspec")[1] for w in windows)
+
+
+def test_nothing_missed_selects_nothing(spark, monkeypatch):
+    frame = spark.range(5000).select((F.col("id") % 2).cast("string").alias("g"), F.rand(2).alias("v"))
+    monkeypatch.setattr(quantiles, "select_ranks", None)
+    assert quantiles.exact_quantiles(frame, ["g"], "v", {"m": 0.5}).count() == 2
+    assert quantiles.exact_quantiles(frame, [], "v", {"m": 0.5}).count() == 1
 
 
 def test_example_quartiles(spark):

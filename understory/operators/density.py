@@ -51,7 +51,7 @@ def violin_density(
     )
     grid = stats.select(*by, "n", "min", "max", "bw", "low", "step")
     rows = frame.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    placed = join_group_statistics(rows, grid, by, "_v", closed).withColumn(
+    placed = join_group_statistics(rows, grid, by, "_v", closed, F.col("n")).withColumn(
         "_at", (F.col("_v") - F.col("low")) / F.col("step")
     )
     left = F.floor("_at").cast("int")
@@ -68,17 +68,20 @@ def violin_density(
         F.collect_list(F.struct("bin", "w")).alias("bins"), *[F.max(c).alias(c) for c in carried]
     )
 
-    def kernel_sum(point: Column) -> Column:
-        def add(total: Column, b: Column) -> Column:
-            z = (point - b.bin) * F.col("step") / F.col("bw")
-            return total + b.w * F.exp(z * z * -0.5)
+    # The kernel depends on the distance of two grid points only: one vector serves all of them.
+    z = F.lit(1.0) * F.col("step") / F.col("bw")
+    height = 1 / (F.col("n") * F.col("bw") * sqrt(2 * pi))
+    kernel = F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda d: F.exp(z * z * d * d * -0.5) * height)
 
-        return F.aggregate("bins", F.lit(0.0), add)
+    def smoothed(group: Column) -> Column:
+        def at(j: Column) -> Column:
+            return F.aggregate(group["bins"], F.lit(0.0), lambda total, b: total + b.w * F.get(group["kernel"], F.abs(j - b.bin)))
 
-    height = 1 / (F.col("n") * F.col("bw") * sqrt(2 * pi))
-    smooth = nested.withColumn(
-        "_k", F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda j: kernel_sum(j) * height)
-    ).drop("bins")
+        return F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), at)
+
+    # bound once for all points by a transform over an array of one
+    group = F.array(F.struct("bins", kernel.alias("kernel")))
+    smooth = nested.withColumn("_k", F.get(F.transform(group, smoothed), F.lit(0))).drop("bins")
 
     # Read the density off at evenly spaced points of the data range.
     spacing = (F.col("max") - F.col("min")) / (POINTS - 1)

@@ -3,8 +3,8 @@
 A record is a *later occurrence* when an earlier row of the source has the same
 key. One aggregate counts the rows of each key and finds its first position, a
 number, so copies collapse before the shuffle without a sort. Only keys with
-several rows are joined back, and every key is spread over salts, so one that
-holds a large share of the rows never meets in one task, as it would in a
+several rows are joined back, and a key that holds a large share of the rows is
+spread in proportion to it, so it never meets in one task, as it would in a
 window over the key.
 """
 
@@ -16,21 +16,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from understory.operators.joins import null_safe_join
+from understory.operators.joins import join_by_frequency
 from understory.profiles import RecodePlots
 from understory.sources.tables import POSITION
 
 TREE_KEY = ("year", "plot_id", "tree_num")
-KEY_SALTS = 16
 
 
 def _with_firsts(trees: DataFrame, keys: Sequence[str], position: str, how: str) -> DataFrame:
     """Rows with ``_first``, the first position of their key where it has several rows."""
     counted = trees.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_first"))
-    repeated = counted.where("_n > 1").drop("_n").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(KEY_SALTS - 1))))
-    salted = trees.withColumn("_salt", F.pmod(position, F.lit(KEY_SALTS)).cast("int"))
-    return null_safe_join(salted, repeated, [*keys, "_salt"], how).drop("_salt")
+    return join_by_frequency(trees, counted.where("_n > 1"), keys, F.col("_n"), F.col(position), how).drop("_n")
 
 
 def flag_later(
