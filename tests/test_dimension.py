@@ -135,3 +135,24 @@ def test_profiles_differ_only_in_their_switches():
         dead_gt10cm_source=ONE_YEAR.dead_gt10cm_source, mean_year=None, paired=False,
     )
     assert two == ONE_YEAR
+
+
+def test_colliding_plot_keys(spark, plots_of):
+    """Rows are multiplied, refused or left without attributes, by profile; others are not touched."""
+    from understory.operators import dimension as dim
+
+    plots = plots_of([("2024", "A", "Control", None, 1.0, 1.0), ("2024", "A", "Treatment", None, 2.0, 1.0),
+                      ("2024", "B", "Control", None, 1.0, 1.0), ("2025", None, "Control", "y", 1.0, 1.0)])
+    one = plots.select("year", "plot_id", F.col("Sample").alias("trt_ctl"))
+    keys = ["year", "plot_id"]
+    assert dim.guard_keys(one, keys, "multiply").count() == 4
+    kept = rows(dim.guard_keys(one, keys, "set aside"), "year", "plot_id", "trt_ctl")
+    assert kept == [("2024", "B", "Control"), ("2025", None, "Control")]
+    assert rows(dim.colliding_records(plots, keys), "plot_id", "Sample") == [("A", "Control"), ("A", "Treatment")]
+    with pytest.raises(Exception, match="2 plot records of"):
+        dim.guard_keys(one, keys, "fail").collect()
+    assert dim.guard_keys(one.where("plot_id is null or plot_id = 'B'"), keys, "fail").count() == 2
+    bare = dim.guard_keys(one.select(*keys), keys, "set aside")
+    assert rows(bare, *keys) == [("2024", "B"), ("2025", None)]
+    with pytest.raises(ValueError, match="unknown treatment"):
+        dim.guard_keys(one, keys, "other")

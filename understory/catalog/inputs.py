@@ -6,6 +6,8 @@ alike, so both sides start from the same rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -13,7 +15,8 @@ from understory.operators.spatial import grid_cell
 from understory.plans.inventory import Inventory
 from understory.profiles import ONE_YEAR, Corrections, Profile, RecodePlots, SetValue
 from understory.sources import schemas
-from understory.sources.tables import bind_surveys, read_table
+from understory.sources.shared import shared_folder
+from understory.sources.tables import add_file_position, bind_surveys, read_table
 
 TREE_YEAR = "case when year(l_shipdate) % 2 = 0 then '2024' else '2025' end"
 # Lines that field corrections are for, at any scale: a diameter, a number, and a
@@ -143,6 +146,7 @@ def dem(spark: SparkSession) -> DataFrame:
     return cells.selectExpr("cell_x", "cell_y", f"{ELEVATION} as elev_m")
 
 
+EXPORT_ROWS = 20_000  # of one text file
 LINES = T.StructType([
     T.StructField("l_partkey", T.LongType()), T.StructField("l_suppkey", T.LongType()),
     T.StructField("l_linenumber", T.IntegerType()), T.StructField("l_extendedprice", T.DoubleType()),
@@ -159,6 +163,15 @@ def ingested_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind_surveys(parts, schemas.TREES)
 
 
+def exported_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees as text files in file order, read back with rows numbered by the reader."""
+    path = f"{shared_folder(spark)}/trees-{uuid.uuid4().hex}"
+    rows = add_file_position(trees(spark, sf_dir))
+    ordered = rows.repartitionByRange("src_row").sortWithinPartitions("src_row").drop("src_row")
+    ordered.write.option("maxRecordsPerFile", EXPORT_ROWS).csv(path, header=True)
+    return read_table(spark, path, schemas.TREES, fmt="csv", with_position=True, number_rows=True, header=True)
+
+
 # A raster keyed by web-map tile and pixel, by rule, around the plots on the grid.
 PIXEL_ORIGIN = (189200, 397300)
 PIXEL_SIDE = 400
@@ -173,8 +186,10 @@ def tile_raster(spark: SparkSession) -> DataFrame:
                              f"{TILE_ELEVATION} as elev_m")
 
 
-def two_year(spark: SparkSession, sf_dir: str, profile: Profile = TWO_YEAR_INPUTS, ingest: bool = False) -> Inventory:
-    return _inventory(spark, sf_dir, profile, True, ingested_trees(spark, sf_dir) if ingest else None)
+def two_year(
+    spark: SparkSession, sf_dir: str, profile: Profile = TWO_YEAR_INPUTS, records: DataFrame | None = None,
+) -> Inventory:
+    return _inventory(spark, sf_dir, profile, True, records)
 
 
 def one_year(spark: SparkSession, sf_dir: str) -> Inventory:

@@ -363,6 +363,14 @@ STACKS = {
 PAIRED_SIZE = "trees_sp_size_y2024untrt_y2025trt"
 
 
+# Surveyed plots under the recode that gives two of them one identifier.
+COLLIDED = (
+    "(select * replace (case when year = '2024' and plot_id = 'TR_P2_2' then 'TR_P3_3' else plot_id end as plot_id)"
+    " from all_plots where year = '2024' or Easting is not null)"
+)
+FUEL_FACTORS = (0.010673383170731708, 0.10582623109756098, 0.8568717863414635)
+
+
 def bodies() -> dict[str, str]:
     """The last select of each query over the two-year (or ``_b``) subqueries."""
     q = {
@@ -392,6 +400,18 @@ def bodies() -> dict[str, str]:
             " then 'TR_P3_3' else plot_id end as plot_id) from all_plots where year = '2024' or Easting is not null)"
             " group by year, plot_id having count(*) > 1"
         ),
+        "ingest_csv_keep_later": _count("trees", "n_rows"),
+        "plots_set_aside": f"select * from {COLLIDED} qualify count(*) over (partition by year, plot_id) > 1",
+        "fuels_set_aside": (
+            "select f.*, case when d.n = 1 then d.trt_ctl end as trt_ctl,"
+            " case when d.n = 1 then split_part(f.plot_id, '_', 2) end as trt_project,"
+            f" f.h1 * {FUEL_FACTORS[0]} as mass_1hr,"
+            f" f.h1 * {FUEL_FACTORS[0]} + f.h10 * {FUEL_FACTORS[1]} + f.h100 * {FUEL_FACTORS[2]} as mass_fine"
+            " from (select year, case when year = '2024' and plot_id = 'TR_P2_2' then 'TR_P3_3' else plot_id end as plot_id,"
+            " coalesce(sum(count_1hr), 0e0) as h1, coalesce(sum(count_10h), 0e0) as h10, coalesce(sum(count_100h), 0e0) as h100"
+            f" from raw_fuels group by 1, 2) f left join (select year, plot_id, count(*) as n, any_value(Sample) as trt_ctl"
+            f" from {COLLIDED} group by all) d on f.year = d.year and f.plot_id = d.plot_id"
+        ),
         "duplicate_trees": f"select * from ({_count('trees', by='year, plot_id, tree_num')}) where n > 1",
         "oversize_trees": _count("(select * from trees where dbh_cm / 2.54e0 > 70)"),
         "species_freq": (

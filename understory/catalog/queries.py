@@ -46,7 +46,10 @@ SHAPES: dict[str, tuple[list[str], list[str]]] = {
     "fuels_union_recode": (["year", "plot_id", "n"], []),
     "tree_corrections": (["year", "plot_id", "tree_num", "dbh_cm"], []),
     "dedupe_keep_later": (["year", "plot_id", "n_rows"], []),
+    "ingest_csv_keep_later": (["year", "plot_id", "n_rows"], []),
     # checks
+    "plots_set_aside": (["year", "plot_id", "Sample", "treated", "cwhr_type"], []),
+    "fuels_set_aside": (["year", "plot_id", "trt_ctl", "trt_project"], ["mass_1hr", "mass_fine"]),
     "dup_report": (["year", "plot_id", "tree_num", "species_code", "status", "dbh_cm"], []),
     "survey_fingerprint": (["plot_year", "species_code", "row_rank"], ["ba"]),
     "plots_without_trees": (["year", "plot_id"], []),
@@ -216,7 +219,25 @@ def duplicate_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_trees_plt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.two_year(spark, sf_dir, ingest=True).trees_plt
+    return inputs.two_year(spark, sf_dir, records=inputs.ingested_trees(spark, sf_dir)).trees_plt
+
+
+def ingest_csv_keep_later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees through text files, where file order decides which entry of a tree is the later one."""
+    inv = inputs.two_year(spark, sf_dir, records=inputs.exported_trees(spark, sf_dir))
+    return _count_by_plot(inv.trees, "n_rows")
+
+
+SETTING_ASIDE = Profile(corrections=inputs.COLLIDING, plot_collisions="set aside")
+
+
+def plots_set_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.two_year(spark, sf_dir, SETTING_ASIDE).plots_set_aside
+
+
+def fuels_set_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuel masses when two plots of a year come under one identifier: no row twice, no attribute guessed."""
+    return inputs.two_year(spark, sf_dir, SETTING_ASIDE).fuels_mass
 
 
 # --- queries that are one table of an inventory --------------------------------
@@ -321,6 +342,9 @@ DIRECT: dict[str, Query] = {
     "plots_elev_tiles": plots_elev_tiles,
     "duplicate_plots": duplicate_plots,
     "ingest_trees_plt": ingest_trees_plt,
+    "ingest_csv_keep_later": ingest_csv_keep_later,
+    "plots_set_aside": plots_set_aside,
+    "fuels_set_aside": fuels_set_aside,
 }
 
 

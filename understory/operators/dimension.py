@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from understory import fixed_values as fv
 from understory.functions import closed_levels, elev_class, is_one_of, project_code, recode
-from understory.operators.joins import null_safe_join
+from understory.operators.joins import PACKED, null_safe_join, pack
 from understory.operators.quantiles import exact_quantiles
 from understory.profiles import Profile
 
@@ -68,6 +68,33 @@ def attributes(profile: Profile) -> list[str]:
     return [*PLAIN_ATTRIBUTES, *(PAIRED_ATTRIBUTES if profile.paired else ())]
 
 
+def guard_keys(dimension: DataFrame, keys: Sequence[str], collisions: str) -> DataFrame:
+    """The dimension with each key once, unless keys that repeat are to multiply rows.
+
+    The records of a key are counted in one aggregate by the packed key, which combines before
+    the shuffle and leaves the dimension dealt out as the join on it needs. A repeated key stops
+    the job where ``collisions`` is ``"fail"``, and is left out where it is ``"set aside"``.
+    """
+    if collisions == "multiply":
+        return dimension
+    if collisions not in ("fail", "set aside"):
+        raise ValueError(f"unknown treatment of plot collisions: {collisions}")
+    attributes = F.struct(F.lit(True).alias("_there"), *[c for c in dimension.columns if c not in keys])
+    counted = dimension.groupBy(pack(keys)).agg(F.count(F.lit(1)).alias("_n"), F.any_value(attributes).alias("_a"))
+    if collisions == "set aside":
+        counted = counted.where("_n = 1")
+    else:
+        message = F.concat(F.col("_n").cast("string"), F.lit(" plot records of "), F.to_json(PACKED))
+        counted = counted.withColumn("_a", F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col("_a")))
+    return counted.select(f"{PACKED}.*", "_a.*").drop("_there")
+
+
+def colliding_records(plots: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Plot records whose key has several."""
+    counted = plots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return null_safe_join(plots, counted.drop("_n"), keys, "left_semi")
+
+
 def plot_dimension(plots: DataFrame, profile: Profile, columns: Sequence[str] | None = None) -> DataFrame:
     """Plot attributes by key. ``plots`` has been through :func:`classify_plots`.
 

@@ -85,6 +85,11 @@ class Inventory:
     def dimension(self) -> DataFrame:
         return dimension.plot_dimension(self.plots, self.profile)
 
+    @cached_property
+    def plots_set_aside(self) -> DataFrame:
+        """Surveyed plot records that share their key with others; a profile may keep them out of all joins."""
+        return dimension.colliding_records(drop_geometry(self.surveyed_plots), self.keys)
+
     @cached_property
     def trees(self) -> DataFrame:
         """Trees after corrections, without the first entry of resurveyed plots."""
@@ -138,6 +143,7 @@ class Inventory:
             plots = dimension.plot_dimension(self.plots_off_raster, self.profile, columns)
         if year is not None:
             plots = plots.where(F.col("year") == year)
+        plots = dimension.guard_keys(plots.select(*self.keys, *attributes), self.keys, self.profile.plot_collisions)
         return null_safe_join(frame, plots.select(*self.keys, *attributes), self.keys)
 
     @cached_property

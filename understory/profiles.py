@@ -61,7 +61,9 @@ class Profile:
 
     ``elev_split`` of ``None`` splits at the median elevation of the plots.
     ``mean_year`` restricts the single-year stratum means; ``None`` averages
-    everything.
+    everything. ``plot_collisions`` says what happens to rows that meet several plot records
+    of one key: ``"multiply"`` joins them to each, as a plain join does, ``"fail"`` stops
+    the job, ``"set aside"`` joins them to none and leaves those records to a table of their own.
     """
 
     keys: tuple[str, ...] = ("year", "plot_id")
@@ -71,6 +73,7 @@ class Profile:
     dead_gt10cm_source: str = "n_dead_gt10cm"
     mean_year: str | None = "2024"
     paired: bool = True
+    plot_collisions: str = "multiply"
     corrections: Corrections = field(default_factory=Corrections)
 
     @property

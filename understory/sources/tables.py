@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,7 @@ def read_table(
     year: str | None = None,
     fmt: str = "parquet",
     with_position: bool = False,
+    number_rows: bool = False,
     **options,
 ) -> DataFrame:
     """Read one table of one survey year with a declared schema.
@@ -33,36 +34,72 @@ def read_table(
 
     ``with_position`` adds :data:`POSITION`. Parquet files know the index of
     each row, so no window or sort is needed and a rerun task finds the same
-    positions. Other formats must carry the column from the exporter.
+    positions. Other formats must carry the column from the exporter; rows of
+    CSV files can be numbered instead (``number_rows``, see :func:`add_text_position`).
     """
     if year is not None:
         schema = T.StructType([f for f in schema.fields if f.name != "year"])
     names = schema.fieldNames()
-    if with_position and fmt != "parquet":
+    numbered = fmt == "parquet" or number_rows
+    if with_position and not numbered:
         schema = T.StructType(schema.fields + [f for f in POSITION_FIELDS if f.name not in names])
     frame = spark.read.format(fmt).options(**options).schema(schema).load(path)
-    if with_position and fmt == "parquet":
-        frame = add_file_position(frame)
+    if with_position and numbered:
+        frame = add_file_position(frame) if fmt == "parquet" else add_text_position(frame)
     if year is not None:
         frame = frame.withColumn("year", F.lit(year))
     return frame
 
 
+def file_ordinals(frame: DataFrame) -> DataFrame:
+    """(_file, _file_no) of a frame that was just read: its files numbered by name.
+
+    The list is the one the scan was planned with, so no job runs for it. It is not hinted: a list
+    too long to broadcast is shuffled like any other table.
+    """
+    files = enumerate(sorted(set(frame.inputFiles())))
+    numbered = frame.sparkSession.createDataFrame(list(files), "_file_no long, _file string")
+    return numbered.select(_one_form(F.col("_file")).alias("_file"), "_file_no")
+
+
+def _one_form(path: Column) -> Column:
+    """Spark writes a path without a host as ``file:/`` in one place and ``file:///`` in another."""
+    return F.regexp_replace(path, "^([^:/]+):/+", "$1:/")
+
+
 def add_file_position(frame: DataFrame) -> DataFrame:
     """Add the file order of a frame that was just read from Parquet.
 
-    Files are numbered by name; the driver holds their list anyway. A single file,
-    the usual survey export, needs no number.
+    A single file, the usual survey export, needs no number.
     """
     if len(frame.inputFiles()) <= 1:
         return frame.withColumn(POSITION, F.col("_metadata.row_index"))
-    files = sorted(r[0] for r in frame.select("_metadata.file_path").distinct().collect())
-    numbers = frame.sparkSession.createDataFrame(list(enumerate(files)), "_file_no long, _file string")
-    placed = frame.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    placed = placed.join(F.broadcast(numbers), "_file", "left")
+    placed = frame.select("*", _one_form(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    placed = placed.join(file_ordinals(frame), "_file", "left")
     return placed.withColumn(POSITION, F.col("_file_no") * ROWS_PER_FILE + F.col("_row")).drop("_file", "_file_no", "_row")
 
 
+def add_text_position(frame: DataFrame) -> DataFrame:
+    """Add the file order of a frame that was just read from files of lines, in two passes.
+
+    Such files are read in blocks, each by one task from start to end, so a row's place in its block is the
+    distance of its running number from the block's first. The first pass counts the rows of each block; a prefix sum
+    over the blocks of a file says where each begins. Should the second pass deal blocks to
+    tasks otherwise than the first, running numbers leave their block, and the job stops.
+    """
+    block = {"_file": _one_form(F.col("_metadata.file_path")), "_start": F.col("_metadata.file_block_start"), "_run": F.monotonically_increasing_id()}
+    placed = frame.select("*", *[c.alias(name) for name, c in block.items()])
+    blocks = placed.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_rows"), F.min("_run").alias("_first"))
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).join(file_ordinals(frame), "_file")
+    met = placed.join(blocks, ["_file", "_start"], "left")
+    within = F.col("_run") - F.col("_first")
+    astray = F.coalesce((within < 0) | (within >= F.col("_rows")), F.lit(True))
+    stop = F.raise_error(F.lit("files were dealt to tasks differently in two passes"))
+    number = F.col("_file_no") * ROWS_PER_FILE + F.col("_before") + within
+    return met.select(*frame.columns, F.when(astray, stop).otherwise(number).cast("long").alias(POSITION))
+
+
 def check_types(frame: DataFrame, schema: T.StructType) -> DataFrame:
     """Fail at planning time when a shared column has an undeclared type.
 
