@@ -183,3 +183,21 @@ def test_whole_tokens_are_proved():
     tokenizer = Tokenizer.from_file(path)
     assert len(whole) > 40_000 and " the" in whole
     assert all(len(tokenizer.encode(s, add_special_tokens=False).ids) == 1 for s in whole[::500])
+
+
+def test_every_code_point_counts_as_the_tokenizer_does(spark):
+    """In the patterns x's, 1x2 and  x!x; characters of differing classes in texts of their own."""
+    from understory.llm import token_counts as T
+
+    path, pattern = public_tokenizers.path(Q.TOKENIZER), public_tokenizers.PATTERN
+    differing = T.differing_characters(spark, pattern)
+    assert {"\u088f", "\ua7d2", "\U00010940"} <= set(differing) and not set("aé1 中") & set(differing)
+    count = T.text_counter(T.prove_whole_tokens(path, pattern), path, pattern, T.special_strings(path), differing)
+    unlike = set(differing)
+    plain = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and chr(c) not in unlike]
+    few = plain[:3000] + plain[3000::50]  # counting every one takes minutes; all were compared by class above
+    texts = ["\n".join(f"{c}'s 1{c}2 {c}!{c}" for c in few[lo:lo + 512]) for lo in range(0, len(few), 512)]
+    texts += [t for c in differing[::25] + "\u088f\ua7d2\U00010940" for t in (f"{c}'s", f"1{c}2", f" {c}!{c}")]
+    encoded = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    wrong = [t[:20] for t, e in zip(texts, encoded, strict=True) if count(t) != len(e.ids)]
+    assert not wrong, (len(wrong), wrong[:5])
