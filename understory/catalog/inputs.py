@@ -192,6 +192,12 @@ def two_year(
     return _inventory(spark, sf_dir, profile, True, records)
 
 
+def survey(spark: SparkSession, sf_dir: str, year: str, profile: Profile = TWO_YEAR_INPUTS) -> Inventory:
+    """The records of one of the two years, as they arrive when it is over."""
+    parts = [table_of(spark, sf_dir).where(f"year = '{year}'") for table_of in (plots, trees, fuels)]
+    return Inventory(*parts, dem(spark), profile, grid_cell(*DEM_ORIGIN, DEM_RESOLUTION_M))
+
+
 def one_year(spark: SparkSession, sf_dir: str) -> Inventory:
     return _inventory(spark, sf_dir, ONE_YEAR_INPUTS, years=False)
 

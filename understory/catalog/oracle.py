@@ -487,6 +487,10 @@ def bodies() -> dict[str, str]:
                  "trees_sp_trtuntrt", PAIRED_SIZE):
         q[name] = f"select * from {name}"
     q["plot_dimension_b"] = "select * from dim"
+    # years added to stored sums come to the same as all years at once
+    for name, source in (("trees_plt", "trees_plt"), ("rollup", "rollup_shared_scan"), ("trees_sp_size", "trees_sp_size"),
+                         ("trees_sp_size_paired", PAIRED_SIZE), ("fuels_mass", "fuels_mass")):
+        q[f"yearly_{name}"] = q[source]
     return q
 
 

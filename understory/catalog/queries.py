@@ -6,6 +6,7 @@ rounded to six places so that sums in a different order compare equal.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -16,9 +17,12 @@ from understory import fixed_values as fv
 from understory.catalog import inputs
 from understory.operators import checks, corrections, dimension, duplicates, figures, spatial, strata
 from understory.plans.inventory import Inventory
+from understory.plans.surveys import StoredInventory, add_survey
 from understory.profiles import Profile, RecodePlots
 from understory.sources import schemas
+from understory.sources.shared import shared_folder
 from understory.sources.tables import add_file_position, bind_surveys
+from understory.sources.versions import TableSet
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +82,14 @@ SHAPES: dict[str, tuple[list[str], list[str]]] = {
     "rollup_shared_scan": (
         ["level", "year", "plot_id", SP, SIZE, *COUNTS, "n_dead_gt10cm"], ["ba_live_ft", "ba_dead_ft", "dbh2_live"]
     ),
+    # years added to stored sums
+    "yearly_trees_plt": (["year", "plot_id", *COUNTS, "n_dead_gt10cm", *DIM_TWO], PLOT_NUMBERS),
+    "yearly_rollup": (
+        ["level", "year", "plot_id", SP, SIZE, *COUNTS, "n_dead_gt10cm"], ["ba_live_ft", "ba_dead_ft", "dbh2_live"]
+    ),
+    "yearly_trees_sp_size": ([SP, SIZE], MEANS),
+    "yearly_trees_sp_size_paired": ([SP, SIZE, "treated_simp", "year", "trt_project"], MEANS),
+    "yearly_fuels_mass": (["year", "plot_id", *DIM_TWO], FUEL_NUMBERS),
     # stratum means
     "trees_sp_elev": ([SP, "elev_class"], MEANS),
     "trees_sp_trtctl": ([SP, "trt_ctl"], MEANS),
@@ -240,6 +252,15 @@ def fuels_set_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.two_year(spark, sf_dir, SETTING_ASIDE).fuels_mass
 
 
+def _yearly(spark: SparkSession, sf_dir: str) -> StoredInventory:
+    """The first year is stored as it arrives, the second is added, then the first is replaced with its corrections."""
+    store = TableSet(spark, f"{shared_folder(spark)}/surveys-{uuid.uuid4().hex}")
+    add_survey(store, inputs.survey(spark, sf_dir, "2024", Profile()), "2024")
+    for year in ("2025", "2024"):
+        add_survey(store, inputs.survey(spark, sf_dir, year), year)
+    return StoredInventory(store, inputs.TWO_YEAR_INPUTS)
+
+
 # --- queries that are one table of an inventory --------------------------------
 
 
@@ -301,6 +322,14 @@ TWO_YEAR: dict[str, Callable[[Inventory], DataFrame]] = {
     "cwhr_counts_elev": lambda inv: inv.habitat_counts("elev_class"),
 }
 
+YEARLY: dict[str, Callable[[Inventory], DataFrame]] = {
+    "yearly_trees_plt": TWO_YEAR["trees_plt"],
+    "yearly_rollup": TWO_YEAR["rollup_shared_scan"],
+    "yearly_trees_sp_size": TWO_YEAR["trees_sp_size"],
+    "yearly_trees_sp_size_paired": TWO_YEAR["trees_sp_size_y2024untrt_y2025trt"],
+    "yearly_fuels_mass": TWO_YEAR["fuels_mass"],
+}
+
 ONE_YEAR: dict[str, Callable[[Inventory], DataFrame]] = {
     "plot_dimension_b": lambda inv: inv.dimension,
     "trees_plt_b": lambda inv: inv.trees_plt,
@@ -351,6 +380,8 @@ DIRECT: dict[str, Query] = {
 def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     if name in DIRECT:
         frame = DIRECT[name](spark, sf_dir)
+    elif name in YEARLY:
+        frame = YEARLY[name](_yearly(spark, sf_dir))
     elif name in ONE_YEAR:
         frame = ONE_YEAR[name](inputs.one_year(spark, sf_dir))
     else:

@@ -54,7 +54,7 @@ def sum_trees(measured: DataFrame, by: Sequence[str | Column], profile: Profile)
     )
 
 
-def roll_up(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+def roll_up(sums: DataFrame, by: Sequence[str | Column]) -> DataFrame:
     """Coarser sums from finer ones, without another look at the trees."""
     return sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in SUMS])
 
@@ -99,8 +99,12 @@ def shared_scan_rollup(measured: DataFrame, profile: Profile) -> DataFrame:
     sums. Grouping sets would instead triple every tree row before the first
     aggregate.
     """
+    return rollup_levels(sum_trees(measured, [*profile.keys, *SPECIES_SIZE], profile), profile)
+
+
+def rollup_levels(finest: DataFrame, profile: Profile) -> DataFrame:
+    """The finest sums and the two coarser levels that follow from them, told apart by ``level``."""
     keys = list(profile.keys)
-    finest = sum_trees(measured, [*keys, *SPECIES_SIZE], profile)
     species = roll_up(finest, [*keys, *SPECIES])
     plot = roll_up(species, keys)
     levels = {"plot": plot, "species": species, "species_size": finest}

@@ -7,7 +7,7 @@ they write the plot-level table they are made of to the shared folder first.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -128,6 +128,11 @@ class Inventory:
 
     # --- plot-level tables ---------------------------------------------------
 
+    def tree_sums(self, by: Sequence[str | Column], year: str | None = None) -> DataFrame:
+        """Additive sums of the trees, of one year if it is given; all tree tables are made of them."""
+        measured = self.measured_trees if year is None else self.measured_trees.where(F.col("year") == year)
+        return trees.sum_trees(measured, by, self.profile)
+
     def with_plots(self, frame: DataFrame, columns: list[str] | None = None, year: str | None = None) -> DataFrame:
         """Attach the plot dimension; rows without a plot keep null attributes.
 
@@ -148,7 +153,7 @@ class Inventory:
 
     @cached_property
     def trees_plt(self) -> DataFrame:
-        sums = trees.sum_trees(self.measured_trees, [pack(self.keys)], self.profile)
+        sums = self.tree_sums([pack(self.keys)])
         return self.with_plots(trees.plot_metrics(sums.select(f"{PACKED}.*", "*"), self.profile))
 
     def _nested(self, domains: dict, columns: list[str] | None = None, year: str | None = None) -> DataFrame:
@@ -158,9 +163,8 @@ class Inventory:
         the dimension instead of one per cell. Filling touches measures only, so
         the order does not matter to the result.
         """
-        measured = self.measured_trees if year is None else self.measured_trees.where(F.col("year") == year)
         by = [*self.keys, *domains]
-        cells = trees.cell_metrics(trees.sum_trees(measured, by, self.profile), by)
+        cells = trees.cell_metrics(self.tree_sums(by, year), by)
         return self.with_plots(nest_cells(cells, self.keys, domains, CELL_MEASURES), columns, year)
 
     @cached_property
@@ -181,7 +185,7 @@ class Inventory:
 
     @cached_property
     def rollup_shared_scan(self) -> DataFrame:
-        return trees.shared_scan_rollup(self.measured_trees, self.profile)
+        return trees.rollup_levels(self.tree_sums([*self.keys, *SPECIES_SIZE]), self.profile)
 
     @cached_property
     def fuels_agg(self) -> DataFrame:
@@ -372,7 +376,7 @@ class Inventory:
         self.dimension = store(self.dimension)
         self._stored = True
         by = [*self.keys, *SPECIES_SIZE]
-        sums = store(trees.sum_trees(self.measured_trees, by, self.profile))
+        sums = store(self.tree_sums(by))
         cells = {
             "_size_nested": (SPECIES_SIZE, sums),
             "_species_nested": (SPECIES, trees.roll_up(sums, [*self.keys, *SPECIES])),
