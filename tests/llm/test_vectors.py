@@ -77,6 +77,15 @@ def test_odd_rows(spark):
     assert found(near_vectors.similar_vectors(frame)) == plain(rows)
 
 
+def test_extreme_components(spark):
+    """Squares of these over- or underflow; directions do not."""
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.0001e200]), (3, [1e-200, 0.0]), (4, [1.0, 0.0]), (5, [-1.7e308, 1.7e308]),
+            (6, [-1.0, 1.0]), (7, [5e-324, 0.0]), (8, [0.0, -1e-310])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(near_vectors.similar_vectors(frame)) == [
+        (1, 1, 1), (2, 1, 1), (3, 2, 3), (4, 2, 3), (5, 1, 5), (6, 1, 5), (7, 2, 3), (8, 0, 8)]
+
+
 def test_empty_and_unusable(spark):
     schema = "vec_id long, embedding array<float>"
     assert near_vectors.similar_vectors(spark.createDataFrame([], schema)).count() == 0

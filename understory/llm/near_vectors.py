@@ -29,7 +29,9 @@ Batches = Iterator[pd.DataFrame]
 
 
 def _unit(vectors: list) -> np.ndarray:
+    """Vectors of length one. Powers of two bring the largest component near one first, so no square over- or underflows."""
     rows = np.array([np.asarray(v, np.float64) for v in vectors])
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -63,8 +65,7 @@ def _places(pivots: list[list[float]]) -> Callable[[Batches], Batches]:
 
     def run(batches: Batches) -> Batches:
         width = max(map(len, pivots))
-        marks = np.array([np.pad(np.asarray(p, float), (0, width - len(p))) for p in pivots])
-        marks /= np.linalg.norm(marks, axis=1, keepdims=True)
+        marks = _unit([np.pad(np.asarray(p, float), (0, width - len(p))) for p in pivots])
         for batch in batches:
             dims = batch["embedding"].map(len).to_numpy()
             for dim in np.unique(dims):
