@@ -81,6 +81,26 @@ def test_named_furniture_stays_furniture():
     assert main_text(f"<body><article>{MAIN}<p>So <math><mi>x</mi></math> holds.</p></article></body>") == f"{TEXT} So x holds."
 
 
+@pytest.mark.parametrize("part", [
+    "<header class='entry-header'><h1>A title</h1><p class=byline>By someone</p></header>", "<div class='post-header'>A title of it</div>",
+    "<p class='share-price'>The price fell.</p>", "<div class='legal-history'>A law of old.</div>", "<p class='search-theory'>On search.</p>",
+    "<p class='commentary'>On the above.</p>", "<p data-id='menu'>Plain words.</p>", "<p title='a hidden valley'>Plain words.</p>"])
+def test_article_parts_that_look_like_furniture_stay(part):
+    own = " ".join(re.sub(r"<[^>]*>", " ", part).split())
+    for shell in ("<article>%s</article>", "<main>%s</main>", "<div role='main'>%s</div>"):
+        assert main_text(f"<body>{shell % (part + MAIN)}</body>") == f"{own} {TEXT}", shell
+
+
+@pytest.mark.parametrize("box", [
+    "<ol class='commentlist'><li>%s</li></ol>", "<div id='responses'><p>%s</p></div>", "<div role='contentinfo'>%s</div>",
+    "<div role='complementary'>%s</div>", "<div class='sideBar'>%s</div>", "<div class='side-bar left'>%s</div>", "<table class='navbox'><tr><td>%s</table>",
+    "<div hidden>%s</div>", "<div style='color:red; display: none'>%s</div>", "<div class='CommentThread'>%s</div>", "<div id='shareButtons'>%s</div>"])
+def test_furniture_by_role_compound_name_and_visibility(box):
+    for shell in ("<article>%s</article>", "<main>%s</main>", "<div class='post'>%s</div>"):
+        assert main_text(f"<body>{shell % MAIN}{box % BOX}</body>") == TEXT
+        assert main_text(f"<body>{shell % (MAIN + box % BOX)}</body>") == TEXT
+
+
 ODD = [(1, None), (2, ""), (3, "   "), (4, "<"), (5, "<p"), (6, "plain words only"), (7, "<p>a<p>b<br>c"), (8, "</div></p>"),
        (9, "<!-- open"), (10, "<script>never closed <p>x</p>"), (11, "<p title=\"a>b\">q &lt;tag&gt; &#233; &eacute &nope;</p>"),
        (12, "<p>" + "word " * 200_000 + "</p>"), (13, "<div>" * 20_000 + "deep"), (14, "<p a='" * 3000), (6, "plain words only")]

@@ -32,37 +32,75 @@ SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}
                 "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "svg",
              "canvas", "object", "audio", "video", "fieldset", "datalist"}
-FURNITURE_NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "adslot", "sponsor", "sponsored", "promo",
-    "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside",
-    "widget", "footer", "foot", "header", "masthead", "topbar", "toolbar", "comment", "comments", "disqus", "reply",
-    "replies", "respond", "notice", "cookie", "cookies", "consent", "gdpr", "alert", "popup", "modal", "overlay",
-    "subscribe", "newsletter", "signup", "login", "search", "share", "sharing", "social", "related", "recommended",
-    "recommendations", "pagination", "pager", "copyright", "legal", "disclaimer", "form", "skip",
+# Names that say furniture wherever they stand in a longer name ...
+SURE_NAMES = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "adslot", "sponsor", "sponsored", "nav",
+    "navbar", "navbox", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "masthead", "topbar", "toolbar", "comment",
+    "comments", "disqus", "cookie", "cookies", "gdpr", "popup", "newsletter", "pagination", "pager", "contentinfo",
+    "complementary", "aside", "commentlist", "commentform", "responses",
 }
+# ... others only with each other or with names of boxes: not in share-price or legal-history.
+FURNITURE_NAMES = SURE_NAMES | {
+    "promo", "promotion", "banner", "menu", "widget", "footer", "foot", "header", "reply", "replies", "respond", "notice",
+    "consent", "alert", "modal", "overlay", "subscribe", "signup", "login", "search", "share", "sharing", "social", "related",
+    "recommended", "recommendations", "copyright", "legal", "disclaimer", "form", "skip",
+}
+BOX_NAMES = {
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "c", "col", "column", "container", "content", "div", "entry",
+    "fixed", "global", "group", "icon", "icons", "id", "inner", "item", "items", "js", "left", "link", "links", "list", "main",
+    "more", "outer", "page", "panel", "post", "posts", "primary", "right", "row", "secondary", "section", "side", "site", "small",
+    "sticky", "stories", "text", "title", "to", "top", "tools", "wrap", "wrapper", "article", "articles", "story", "the", "us",
+}
+HEADINGS = {"header", "masthead", "head"}  # inside the article, or with its names, these hold its title
+OWN_NAMES = {"entry", "post", "article", "story"}
 MAIN = {"article", "main"}
+MAIN_ROLES = {"article", "main"}
 MAY_WRAP = {"form", "fieldset"}  # furniture that may hold a whole page
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>?|</?[a-zA-Z][^\s/>]*+(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>|</?[a-zA-Z][^>]*+(?:>|\Z)",
     re.DOTALL)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_PARTS = re.compile(r"[A-Za-z][a-z]*")
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"\shidden(?=[\s/>=])", re.IGNORECASE)
+_UNSEEN = re.compile(r"""\sstyle\s*=\s*["'][^"'>]*\bdisplay\s*:\s*none""", re.IGNORECASE)
+
+_ROLE = re.compile(r"""(?<![\w-])role\s*=\s*["']?\s*(?:article|main)\b""", re.IGNORECASE)
 
 _RAW_END = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in RAW}
 
 TAG, TEXT = 0, 1
 
 
+def _names_furniture(name: str, inside_main: bool) -> bool:
+    """Whether one class, id or role says furniture, by its parts or written as one word (sideBar, side-bar)."""
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    whole = "".join(parts)
+    if whole in HEADINGS or HEADINGS & set(parts):
+        if inside_main or OWN_NAMES & set(parts):
+            return False
+    if whole in FURNITURE_NAMES or SURE_NAMES & set(parts):
+        return True
+    if whole.startswith("comment") and not whole.startswith("commentar"):
+        return True
+    known = FURNITURE_NAMES & set(parts)
+    return bool(known) and set(parts) <= FURNITURE_NAMES | BOX_NAMES
+
+
 def _kind(name: str, tag: str, inside_main: bool) -> str:
     """The part an element plays: furniture, main or plain."""
     if name in FURNITURE or (name == "header" and not inside_main):
         return "furniture"
-    names = {p.lower() for groups in _NAMES.findall(tag) for g in groups for p in _PARTS.findall(g)}
-    if names & FURNITURE_NAMES and name not in ("body", "html"):
+    if name in ("body", "html"):
+        return "plain"
+    if "hidden" in tag.lower() and _HIDDEN.search(_QUOTED.sub('""', tag)) or "none" in tag and _UNSEEN.search(tag):
+        return "furniture"
+    names = [n for groups in _NAMES.findall(tag) for g in groups for n in g.split()]
+    if any(_names_furniture(n, inside_main) for n in names):
         return "furniture"
-    return "main" if name in MAIN else "plain"
+    return "main" if name in MAIN or MAIN_ROLES & {n.lower() for n in names} and _ROLE.search(tag) else "plain"
 
 
 Token = tuple[int, str, str]
