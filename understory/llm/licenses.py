@@ -8,6 +8,7 @@ number is fixed in the code, are a constant of the plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
@@ -38,30 +39,29 @@ def _rule_literals(rules: list[Rule]) -> Column:
     ])
 
 
+SPANS = "array<struct<start:int,end:int,rule:int,label:string,priority:int,base:boolean>>"
+MARK = "\x01"  # in no word
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where ``use`` reads it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _matches(line: Column, rule: Column) -> Column:
     """All matches of one rule: where they start and end, in words.
 
-    Cutting the line at the matches gives the words before each; every match
-    begins with the space before its first word.
+    Every match begins with the space before its first word. A mark put before each match ends the
+    piece of the line before it, whose number among the pieces is the word the match starts at.
     """
-    between = F.split(line, rule["pattern"], -1)
+    pieces = F.split(F.regexp_replace(line, rule["pattern"], F.lit(f"{MARK}$0")), " ", -1)
+    at = F.transform(pieces, lambda piece, i: F.when(F.endswith(piece, F.lit(MARK)), i))
+    starts = F.filter(at, lambda i: i.isNotNull())
     found = F.regexp_extract_all(line, rule["pattern"], F.lit(0))
-    start = F.struct(F.lit(0).alias("past"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc: Column, i: Column) -> Column:
-        at = acc["past"] + _spaces(F.get(between, i))
-        end = at + _spaces(F.get(found, i))
-        return F.struct(
-            end.alias("past"),
-            F.concat(acc["spans"], F.array(F.struct(at.alias("start"), end.alias("end")))).alias("spans"),
-        )
-
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["spans"])
-    spans = F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-    return F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), rule["rule"].alias("rule"), rule["label"].alias("label"),
-        rule["priority"].alias("priority"), rule["base"].alias("base"),
-    ))
+    spans = F.zip_with(starts, found, lambda start, match: F.struct(
+        start.alias("start"), (start + _spaces(match)).alias("end"), rule["rule"].alias("rule"),
+        rule["label"].alias("label"), rule["priority"].alias("priority"), rule["base"].alias("base")))
+    return F.when(F.rlike(line, rule["pattern"]), spans).otherwise(F.array().cast(SPANS))
 
 
 def _suppressed(d: Column, others: Column) -> Column:
@@ -76,6 +76,33 @@ def _suppressed(d: Column, others: Column) -> Column:
     return F.exists(others, beats)
 
 
+FEW = 32  # detections that are compared with each other as they are
+
+
+def _not_suppressed(found: Column, n_words: Column) -> Column:
+    """Detections that stay. One that holds another starts no further before it than the longest is long.
+
+    In the order of starts, with a place before the detections at each word, a word's place less its own number is how
+    many detections start before it; so those that may hold a given one are a slice of the sorted ones.
+    """
+    plain = F.filter(found, lambda d: d["base"] | ~_suppressed(d, found))
+    places = F.transform(F.sequence(F.lit(0), n_words), lambda w: F.struct(
+        w.alias("start"), F.lit(-1).alias("end"), F.lit(-1).alias("rule"), F.lit("").alias("label"),
+        F.lit(0).alias("priority"), F.lit(False).alias("base")))
+    merged = F.array_sort(F.concat(places, found))
+    before = F.filter(F.transform(merged, lambda d, i: F.when(d["end"] < 0, i - d["start"])), lambda n: n.isNotNull())
+    longest = F.array_max(F.transform(found, lambda d: d["end"] - d["start"]))
+
+    def stays(d: Column, known: Column) -> Column:
+        first = F.get(known["before"], F.greatest(d["start"] - known["longest"], F.lit(0)))
+        near = F.slice(known["sorted"], first + 1, F.get(known["before"], d["start"] + 1) - first)
+        return d["base"] | ~_suppressed(d, near)
+
+    known = F.struct(F.array_sort(found).alias("sorted"), before.alias("before"), longest.alias("longest"))
+    indexed = _let(known, lambda k: F.filter(found, lambda d: stays(d, k)))
+    return F.when(F.size(found) <= FEW, plain).otherwise(indexed)
+
+
 def scan_licenses(frame: DataFrame, text: str, keep: list[str], rules: list[Rule] | None = None) -> DataFrame:
     """Detections of every text: ``keep`` columns, n_words, all_found, detections.
 
@@ -92,9 +119,9 @@ def scan_licenses(frame: DataFrame, text: str, keep: list[str], rules: list[Rule
         hits.isNotNull(), F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))).alias("_line"))
     chosen = F.filter(_rule_literals(rules), lambda r: F.array_contains(F.col("_hits"), r["keyword"]))
     found = F.flatten(F.transform(chosen, lambda r: _matches(F.col("_line"), r)))
-    none = F.array().cast("array<struct<start:int,end:int,rule:int,label:string,priority:int,base:boolean>>")
+    none = F.array().cast(SPANS)
     table = table.select(*keep, "n_words", F.coalesce(F.when(F.col("_line").isNotNull(), found), none).alias("all_found"))
-    kept = F.filter("all_found", lambda d: d["base"] | ~_suppressed(d, F.col("all_found")))
+    kept = _not_suppressed(F.col("all_found"), F.col("n_words"))
     return table.select(*keep, "n_words", "all_found", kept.alias("detections"))
 
 
