@@ -73,7 +73,7 @@ def test_license_suppression(spark, tmp_path):
     assert any(d["label"] == "cc-by-nc" for d in found["all_found"])
 
 
-def brute_licenses(text):
+def brute_detections(text):
     """Every rule on every text, without keywords; then suppression pair by pair."""
     line = "".join(f" {w}" for w in WORD.findall(text.translate(LOWER))) + " "
     found = []
@@ -92,7 +92,11 @@ def brute_licenses(text):
                     return True
         return False
 
-    return ",".join(sorted({d[2].label for d in found if d[2].base or not beaten(d)}))
+    return [d for d in found if d[2].base or not beaten(d)]
+
+
+def brute_licenses(text):
+    return ",".join(sorted({d[2].label for d in brute_detections(text)}))
 
 
 def test_license_labels(spark, tmp_path):
@@ -101,6 +105,45 @@ def test_license_labels(spark, tmp_path):
             assert brute_licenses(text) in [r["labels"] for r in found]
 
 
+NOTICES = ("Licensed under the Creative Commons CC BY-NC-SA 4.0 license. ", "GNU General Public License version 3 or later ",
+           "Apache License, Version 2.0 ", "All rights reserved. MIT license ", "released under cc by, see the lesser general public license ")
+
+
+def test_many_detections_in_one_text(spark):
+    """Suppression by slices of the sorted detections equals suppression pair by pair; time grows with the text."""
+    import random
+    import time
+
+    from understory.llm.licenses import scan_licenses
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(NOTICES) + "and so on " * rng.randrange(3) for _ in range(n)) for n in (3, 60, 160)]
+    found = scan_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string"), "text", ["i"])
+    for r in found.collect():
+        got = sorted((d["start"], d["end"], d["rule"]) for d in r["detections"] if not d["base"])
+        assert got == sorted((a, b, o.order) for a, b, o in brute_detections(texts[r["i"]]) if not o.base)
+    spent = []
+    for n in (25_000, 100_000):
+        text = "".join(NOTICES) * (n // 33)
+        frame = scan_licenses(spark.createDataFrame([(text,)], "text string"), "text", [])
+        begin = time.perf_counter()
+        assert frame.select(F.size("detections")).first()[0] > n // 20
+        spent.append(time.perf_counter() - begin)
+    assert spent[1] < 8 * spent[0] + 5, spent
+
+
+def test_long_unbroken_runs_are_read_once():
+    import time
+
+    begin = time.perf_counter()
+    assert find_spans("eyJhb" * 400_000) == []
+    assert time.perf_counter() - begin < 10
+    head = "eyJhbGciOiJIUzI1NiJ9"
+    text = f"eyJ.x {'eyJ' * 50} {head}.eyJa.b {head}.{head}.eyJc.d"
+    assert [(a, b) for k, a, b in find_spans(text) if k == "jwt"] == [
+        m.span() for m in re.finditer(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", text)]
+
+
 def test_rules_hold_their_keyword():
     assert len({r.order for r in all_rules()}) == len(all_rules()) > 200
     for rule in all_rules():

@@ -95,6 +95,7 @@ class Kind(NamedTuple):
     keywords: tuple[str, ...]  # lower case; the pattern begins with one of them
     pattern: re.Pattern
     holds: Callable[[re.Match], bool]
+    run: re.Pattern | None = None  # what a failed try reads through: tries that begin inside it fail as well
 
 
 # The first two kinds and HEX are given; the others are public token formats.
@@ -106,7 +107,8 @@ KINDS = (
     Kind("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
          re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"), base62_crc),
     Kind("npm", ("npm_",), re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"), base62_crc),
-    Kind("jwt", ("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), jwt_header),
+    Kind("jwt", ("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+"), jwt_header,
+         re.compile(r"eyJ[A-Za-z0-9_-]+")),
     Kind("xprv", ("xprv",), re.compile(r"xprv[1-9A-HJ-NP-Za-km-z]{107}(?![A-Za-z0-9])"), base58_check),
     Kind("age", ("age-secret-key-1",),
          re.compile(r"AGE-SECRET-KEY-1[QPZRY9X8GF2TVDW0S3JN54KHCE6MUA7L]{58}(?![A-Za-z0-9])"), bech32_check),
@@ -155,10 +157,14 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     for i, starts in hits.items():
         kind, past = KINDS[i], 0
         for at in sorted(starts):
-            if at >= past and (match := kind.pattern.match(text, at)):
+            if at < past:
+                continue
+            if match := kind.pattern.match(text, at):
                 past = match.end()
                 if kind.holds(match):
                     spans.append((kind.name, match.start(), match.end()))
+            elif kind.run and (passed := kind.run.match(text, at)):
+                past = passed.end()
     return sorted(spans, key=lambda s: (s[1], KIND_ORDER.index(s[0]), s[2]))
 
 
