@@ -113,17 +113,27 @@ class _Costs(dict):
 _costs: dict[str, _Costs] = {}
 
 
+@lru_cache(maxsize=4)
+def _suspect(differing: str) -> re.Pattern:
+    """Finds texts that may hold one of these characters: those of the first plane exactly, and all beyond it.
+
+    A class of many single characters beyond the first plane is tried one by one at each place of a text.
+    """
+    first = "".join(c for c in differing if c <= "\uffff")
+    return re.compile(f"[{re.escape(first)}\U00010000-\U0010ffff]")
+
+
 def text_counter(whole: list[str], path: str, pattern: str, special: list[str], differing: str = "") -> Callable[[str], int]:
     costs = _costs.get(path)
     if costs is None or len(costs) > costs.limit:
         costs = _costs[path] = _Costs(whole, path)
     split, cut = regex.compile(pattern), regex.compile("|".join(map(regex.escape, special)) or r"(?!)")
 
-    unlike = re.compile(f"[{re.escape(differing)}]" if differing else r"(?!)")
+    unlike, suspect = frozenset(differing), _suspect(differing)
     encode = _tokenizer(path).encode
 
     def count(text: str) -> int:
-        if not text.isascii() and unlike.search(text):
+        if not text.isascii() and suspect.search(text) and not unlike.isdisjoint(text):
             return len(encode(text, add_special_tokens=False).ids)
         parts = cut.split(text) if any(s in text for s in special) else [text]
         return len(parts) - 1 + sum(sum(map(costs.__getitem__, split.findall(p))) for p in parts)
