@@ -156,3 +156,45 @@ def test_colliding_plot_keys(spark, plots_of):
     assert rows(bare, *keys) == [("2024", "B"), ("2025", None)]
     with pytest.raises(ValueError, match="unknown treatment"):
         dim.guard_keys(one, keys, "other")
+
+
+RASTER_KEYS = ["cell_x", "cell_y"]
+
+
+@pytest.fixture(scope="module")
+def wide_raster(spark, tmp_path_factory):
+    """400 x 100 cells, stored in four buckets."""
+    cells = spark.range(40_000).selectExpr("id div 100 as cell_x", "id % 100 as cell_y", "cast(id as double) as elev_m", "1 as more")
+    path = f"{tmp_path_factory.mktemp('raster')}/cells"
+    return cells, path, spatial.store_raster(cells, "wide_raster", path, RASTER_KEYS, 4)
+
+
+def test_a_stored_raster_is_not_moved(spark, wide_raster):
+    cells, path, stored = wide_raster
+    cell = spatial.grid_cell(0.0, 0.0, 1.0)
+    points = [(7.0, 3.0), (9.5, 3.0), (9.5, 3.0), (8.0, 200.0), (None, 3.0)]
+    plots = spark.createDataFrame([(str(i), *p) for i, p in enumerate(points)], "plot_id string, Easting double, Northing double")
+    expected = rows(spatial.attach_elevation(plots, cells, cell), "plot_id", "elev_m")
+    again = spatial.open_raster(spark, cells.schema, "wide_raster_again", path, RASTER_KEYS, 4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for raster in (stored, again):
+            joined = spatial.attach_elevation(plots, spatial.cells_around(raster, plots, cell, ["cell_x"]), cell)
+            assert rows(joined, "plot_id", "elev_m") == expected
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan
+            assert plan.count("hashpartitioning(cell_x") == 1, plan
+        nowhere = plots.where("false")
+        assert spatial.cells_around(stored, nowhere, cell, RASTER_KEYS).count() == 0
+        assert spatial.attach_elevation(nowhere, spatial.cells_around(stored, nowhere, cell, RASTER_KEYS), cell).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_cells_around_keep_all_that_plots_can_meet(spark, wide_raster):
+    cells, _, stored = wide_raster
+    plots = spark.createDataFrame([(12.0, 40.0), (15.0, 44.0)], "Easting double, Northing double")
+    near = spatial.cells_around(stored, plots, spatial.grid_cell(0.0, 0.0, 1.0), RASTER_KEYS)
+    assert rows(near, *RASTER_KEYS) == sorted([(x, y) for x in range(12, 16) for y in range(40, 45)], key=repr)
+    assert near.columns == [*RASTER_KEYS, "elev_m"]

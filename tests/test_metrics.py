@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from understory import fixed_values as fv
-from understory.operators import fuels, strata, trees
+from understory.operators import checks, fuels, strata, trees
 from understory.operators.densify import densify, nest_cells
 from understory.operators.trees import CELL_MEASURES, SPECIES, SPECIES_SIZE
 from understory.profiles import ONE_YEAR, Profile
@@ -154,3 +154,28 @@ def test_labels_round_half_to_even(spark):
     frame = spark.createDataFrame([("a", 2.5), ("b", 1.5), ("b", 2.0), ("c", None)], "k string, v double")
     got = rows(strata.totals(frame, ["k"], "v", "total"))
     assert got == [("a", 2.5, 2.0), ("b", 3.5, 4.0), ("c", 0.0, 0.0)]
+
+
+def test_census_has_the_sums_and_counts_all_trees(spark, trees_of):
+    """Small, unmeasured, oversize and unnamed trees; null keys; a table without rows."""
+    frame = trees_of([
+        ("2024", "A", 1.0, "psme", "L", 25.4), ("2024", "A", 2.0, "PSME", "D", 40.0), ("2024", "A", 3.0, "PSME", "L", 4.0),
+        ("2024", "A", 4.0, None, "L", None), ("2024", "A", 5.0, "ABCO", "L", 178.0), ("2024", "B", 1.0, "LIDE", None, 2.0),
+        ("2025", None, 1.0, "XX", "L", 12.0), ("2025", None, None, "XX", "D", 12.0),
+    ])
+    by = [*KEYS, *SPECIES_SIZE]
+    for some in (frame, frame.where("false")):
+        census = trees.take_census(some, TWO)
+        sums = trees.sum_trees(trees.measure_trees(some, TWO), by, TWO)
+        assert rows(trees.roll_up(census.where("measured"), by), *sums.columns) == rows(sums)
+    census = trees.take_census(frame, TWO)
+    assert rows(census.groupBy(*KEYS).agg(F.sum("n_trees"), F.sum("n_oversize"))) == [
+        ("2024", "A", 5, 1), ("2024", "B", 1, 0), ("2025", None, 2, 0)]
+    plots = spark.createDataFrame([("2024", "A"), ("2024", "A"), ("2024", "C"), (None, None)], "year string, plot_id string")
+    assert rows(checks.census_report(census, plots, KEYS)) == sorted([
+        ("oversize_trees", "2024", "A", None, 1), ("duplicate_plots", "2024", "A", None, 2),
+        ("trees_without_plots", "2024", "B", None, 1), ("trees_without_plots", "2025", None, None, 2),
+        ("plots_without_trees", "2024", "C", None, 1), ("plots_without_trees", None, None, None, 1),
+        ("species_freq", None, None, "PSME", 3), ("species_freq", None, None, "ABCO", 1),
+        ("species_freq", None, None, "LIDE", 1), ("species_freq", None, None, "XX", 2),
+    ], key=repr)

@@ -32,6 +32,7 @@ SAMPLE = [
     "plots_without_trees", "duplicate_plots", "tree_corrections", "species_freq", "plots_elev", "plots_elev_tiles",
     "ingest_trees_plt", "trees_sp_size_ranked", "bar_totals_tpa", "stack_paired_tpa", "stack_size_elev", "stack_elev_ba_b",
     "box_fuels_paired", "density_fuels", "density_fuels_trtctl_b", "fuels_long", "fuels_long_paired",
+    "run_checks", "run_checks_b", "plots_elev_stored",
 ]
 # These were empty at some scale; they have to show something.
 NEVER_EMPTY = ["plots_without_trees", "trees_without_plots", "duplicate_plots", "tree_corrections", "box_fuels"]
@@ -61,7 +62,7 @@ def test_entry_module(spark):
 
 
 def test_every_query_is_registered_once():
-    groups = [set(queries.DIRECT), set(queries.TWO_YEAR), set(queries.ONE_YEAR)]
+    groups = [set(queries.DIRECT), set(queries.TWO_YEAR), set(queries.YEARLY), set(queries.ONE_YEAR)]
     assert set.union(*groups) == set(queries.SHAPES)
     assert sum(map(len, groups)) == len(queries.SHAPES)
 
@@ -118,6 +119,28 @@ def test_materialized_run_equals_lazy_run(spark, inv):
     assert "lineitem" not in plan and "l_suppkey" not in plan
 
 
+def test_checks_ride_on_a_stored_run(spark, inv):
+    """Counts equal the single checks, tables those of a run without them, and the trees are not scanned again."""
+    stored = inputs.two_year(spark, SF).materialize(with_checks=True)
+    for table in ("trees_plt", "trees_plt_sp", "trees_sp_size"):
+        columns = [F.round(c, 9).alias(c) if t == "double" else c for c, t in getattr(inv, table).dtypes]
+        assert rows(getattr(stored, table).select(*columns)) == rows(getattr(inv, table).select(*columns)), table
+    found = stored.run_checks
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_suppkey" not in plan
+    alone = {
+        "oversize_trees": (checks.oversize_trees(inv.trees, inv.keys), ["year", "plot_id", "n"]),
+        "trees_without_plots": (checks.ids_missing_from(inv.trees, inv.located_plots, inv.keys), ["year", "plot_id"]),
+        "plots_without_trees": (checks.ids_missing_from(inv.located_plots, inv.trees, inv.keys), ["year", "plot_id"]),
+        "duplicate_plots": (checks.repeated_keys(inv.located_plots, inv.keys), ["year", "plot_id", "n"]),
+        "species_freq": (checks.species_frequency(inv.trees), ["species_code", "n"]),
+    }
+    for name, (frame, columns) in alone.items():
+        assert rows(found.where(F.col("check") == name), *columns) == rows(frame, *columns), name
+    with pytest.raises(ValueError, match="with_checks"):
+        inv.run_checks
+
+
 def final_plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 

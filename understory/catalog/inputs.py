@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from understory.operators.spatial import grid_cell
+from understory.operators.spatial import grid_cell, store_raster
 from understory.plans.inventory import Inventory
 from understory.profiles import ONE_YEAR, Corrections, Profile, RecodePlots, SetValue
 from understory.sources import schemas
@@ -146,6 +146,15 @@ def dem(spark: SparkSession) -> DataFrame:
     return cells.selectExpr("cell_x", "cell_y", f"{ELEVATION} as elev_m")
 
 
+RASTER_BUCKETS = 16
+
+
+def stored_dem(spark: SparkSession) -> DataFrame:
+    """The raster as a table laid out for joins by cell."""
+    name = f"raster_{uuid.uuid4().hex}"
+    return store_raster(dem(spark), name, f"{shared_folder(spark)}/{name}", ["cell_x", "cell_y"], RASTER_BUCKETS)
+
+
 EXPORT_ROWS = 20_000  # of one text file
 LINES = T.StructType([
     T.StructField("l_partkey", T.LongType()), T.StructField("l_suppkey", T.LongType()),

@@ -368,6 +368,29 @@ COLLIDED = (
     "(select * replace (case when year = '2024' and plot_id = 'TR_P2_2' then 'TR_P3_3' else plot_id end as plot_id)"
     " from all_plots where year = '2024' or Easting is not null)"
 )
+COLLIDED_TREES = (
+    "(select * replace (case when year = '2024' and plot_id = 'TR_P2_2' then 'TR_P3_3' else plot_id end as plot_id) from raw_trees)"
+)
+
+
+def _run_checks(trees: str, plots: str, keys: list[str]) -> str:
+    """Each check in its own words, one below the other."""
+    by = ", ".join(keys)
+
+    def lacking(mine: str, theirs: str) -> str:
+        return f"select {by}, count(*) as n from {mine} a where not exists (from {theirs} b where {_same('a', 'b', keys)}) group by {by}"
+
+    parts = {
+        "oversize_trees": _count(f"(select * from {trees} where dbh_cm / 2.54e0 > 70)", by=by),
+        "trees_without_plots": lacking(trees, plots),
+        "plots_without_trees": lacking(plots, trees),
+        "duplicate_plots": f"select * from ({_count(plots, by=by)}) where n > 1",
+        "species_freq": (
+            f"select upper(species_code) as species_code, count(*) as n from {trees} where species_code is not null group by 1"),
+    }
+    return " union all by name ".join(f"select '{name}' as \"check\", * from ({sql})" for name, sql in parts.items())
+
+
 FUEL_FACTORS = (0.010673383170731708, 0.10582623109756098, 0.8568717863414635)
 
 
@@ -420,6 +443,9 @@ def bodies() -> dict[str, str]:
         ),
         "tree_metrics": "select * from measured",
         "plots_elev": "select * from located",
+        "plots_elev_stored": "select * from located",
+        "run_checks": _run_checks(COLLIDED_TREES, COLLIDED, ["year", "plot_id"]),
+        "run_checks_b": _run_checks("trees", "located", ["plot_id"]),
         "plots_tile_keys": _tile_keys(),
         "plots_elev_tiles": _tile_elevation(),
         "ingest_trees_plt": "select * from trees_plt",
@@ -501,7 +527,7 @@ def all_oracles() -> dict[str, str]:
     for name, (plain, rounded) in SHAPES.items():
         one_year = name.endswith("_b")
         body = texts.get(name) or texts[name.removesuffix("_b")]
-        columns = [*plain, *[f"round({c}, 6) + 0e0 as {c}" for c in rounded]]
+        columns = [*[f'"{c}"' for c in plain], *[f"round({c}, 6) + 0e0 as {c}" for c in rounded]]
         outer = f"select {', '.join(columns)} from ({body}) final_rows"
         result[name] = with_needed(one if one_year else two, outer)
     return result

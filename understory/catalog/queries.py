@@ -62,9 +62,12 @@ SHAPES: dict[str, tuple[list[str], list[str]]] = {
     "duplicate_trees": (["year", "plot_id", "tree_num", "n"], []),
     "oversize_trees": (["year", "plot_id", "n"], []),
     "species_freq": (["species_code", "n"], []),
+    "run_checks": (["check", "year", "plot_id", "species_code", "n"], []),
+    "run_checks_b": (["check", "plot_id", "species_code", "n"], []),
     # dimension
     "tree_metrics": (["year", "plot_id", "tree_num", "species_code", "status", SP, SIZE], ["dbh_in", "ba_ft"]),
     "plots_elev": (["year", "plot_id"], ["elev_m"]),
+    "plots_elev_stored": (["year", "plot_id"], ["elev_m"]),
     "plots_tile_keys": (["year", "plot_id", *TILE], ["lon", "lat"]),
     "plots_elev_tiles": (["year", "plot_id", *TILE], ["elev_m"]),
     "elev_median": ([], ["elev_median"]),
@@ -225,6 +228,20 @@ def plots_elev_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.attach_elevation(keyed, inputs.tile_raster(spark), spatial.cell_columns(TILE), keep_keys=True)
 
 
+def plots_elev_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elevation from a raster stored for this join: its cells stay where they are, and those around the plots are read."""
+    plots = spatial.require_coordinates(inputs.two_year(spark, sf_dir).surveyed_plots)
+    cell = spatial.grid_cell(*inputs.DEM_ORIGIN, inputs.DEM_RESOLUTION_M)
+    near = spatial.cells_around(inputs.stored_dem(spark), plots, cell, list(cell))
+    return spatial.attach_elevation(plots, near, cell)
+
+
+def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of a run that stored its tables, two plots of a year under one identifier among them."""
+    inv = inputs.two_year(spark, sf_dir, Profile(corrections=inputs.COLLIDING))
+    return inv.materialize(with_checks=True).run_checks
+
+
 def duplicate_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     inv = inputs.two_year(spark, sf_dir, Profile(corrections=inputs.COLLIDING))
     return checks.repeated_keys(inv.located_plots, inv.keys)
@@ -331,6 +348,7 @@ YEARLY: dict[str, Callable[[Inventory], DataFrame]] = {
 }
 
 ONE_YEAR: dict[str, Callable[[Inventory], DataFrame]] = {
+    "run_checks_b": lambda inv: inv.materialize(with_checks=True).run_checks,
     "plot_dimension_b": lambda inv: inv.dimension,
     "trees_plt_b": lambda inv: inv.trees_plt,
     "trees_plt_sp_b": lambda inv: inv.trees_plt_sp,
@@ -369,7 +387,9 @@ DIRECT: dict[str, Query] = {
     "survey_fingerprint": survey_fingerprint,
     "plots_tile_keys": plots_tile_keys,
     "plots_elev_tiles": plots_elev_tiles,
+    "plots_elev_stored": plots_elev_stored,
     "duplicate_plots": duplicate_plots,
+    "run_checks": run_checks,
     "ingest_trees_plt": ingest_trees_plt,
     "ingest_csv_keep_later": ingest_csv_keep_later,
     "plots_set_aside": plots_set_aside,

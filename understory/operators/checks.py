@@ -38,6 +38,30 @@ def species_frequency(trees: DataFrame) -> DataFrame:
     )
 
 
+def census_report(census: DataFrame, plots: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The checks of a run from what it stored: (check, *keys, species_code, n), without a scan of the trees.
+
+    ``census`` comes from ``trees.take_census``, ``plots`` has a row for each plot record. ``n`` counts
+    trees, or plot records where a check is about plots. One grouping of the census by plot serves three checks.
+    """
+    trees = census.groupBy(*keys).agg(F.sum("n_trees").alias("n_trees"), F.sum("n_oversize").alias("n_oversize"))
+    records = plots.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_records"))
+    both = trees.select(F.struct(*keys).alias("_key"), "n_trees", "n_oversize").join(
+        records.select(F.struct(*keys).alias("_key"), "n_records"), "_key", "full")
+    found = {
+        "oversize_trees": (F.col("n_oversize") > 0, F.col("n_oversize")),
+        "trees_without_plots": (F.col("n_records").isNull(), F.col("n_trees")),
+        "plots_without_trees": (F.col("n_trees").isNull(), F.col("n_records")),
+        "duplicate_plots": (F.col("n_records") > 1, F.col("n_records")),
+    }
+    labelled = F.array(*[F.when(hit, F.struct(F.lit(name).alias("check"), n.alias("n"))) for name, (hit, n) in found.items()])
+    by_plot = both.select("_key.*", F.inline(F.array_compact(labelled))).withColumn("species_code", F.lit(None).cast("string"))
+    codes = census.where(F.col("species_code").isNotNull()).groupBy("species_code").agg(F.sum("n_trees").alias("n"))
+    by_code = codes.withColumns({"check": F.lit("species_freq")} | {k: F.lit(None).cast(census.schema[k].dataType) for k in keys})
+    columns = ["check", *keys, "species_code", "n"]
+    return by_plot.select(*columns).unionByName(by_code.select(*columns))
+
+
 def survey_fingerprint(trees: DataFrame, plot_id: str) -> DataFrame:
     """Basal area (dm2) by species of each survey of one plot, largest first (``row_rank``).
 

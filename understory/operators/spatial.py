@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # WGS84 ellipsoid and UTM grid, fixed by their definitions.
 SEMI_MAJOR_M = 6378137.0
@@ -45,6 +46,43 @@ def attach_elevation(
     return joined if keep_keys else joined.drop(*keys)
 
 
+def store_raster(dem: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Write a raster once so that no later join moves it: dealt into ``buckets`` by ``keys``, sorted within.
+
+    ``path`` is a folder that all executors share, ``table`` the name in the session's catalog. A join on
+    ``keys`` then deals out the points alone. Choose ``buckets`` for some 200 MB of raster in each.
+    """
+    dealt = dem.select(*keys, "elev_m").repartition(buckets, *keys)
+    writer = dealt.write.mode("errorifexists").format("parquet").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return dem.sparkSession.table(table)
+
+
+def open_raster(
+    spark: SparkSession, schema: T.StructType, table: str, path: str, keys: Sequence[str], buckets: int
+) -> DataFrame:
+    """A raster that :func:`store_raster` wrote in an earlier session, with the layout it was given there."""
+    wanted = [schema[name] for name in (*keys, "elev_m")]
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted)
+    by = ", ".join(keys)
+    layout = f"clustered by ({by}) sorted by ({by}) into {buckets} buckets"
+    spark.sql(f"create table {table} ({columns}) using parquet {layout} location '{path}'")
+    return spark.table(table)
+
+
+def cells_around(dem: DataFrame, plots: DataFrame, cell: dict[str, Column], ranged: Sequence[str]) -> DataFrame:
+    """The part of a raster between the least and largest of the plots' cells, in the ``ranged`` keys.
+
+    The bounds are found when the job runs and reach the raster's scan, where row groups outside
+    them are passed over. No cell that a plot can meet is left out; without any plot, none is left.
+    """
+    bounds = plots.select(*[cell[k].alias(k) for k in ranged]).agg(
+        *[f(k).alias(f"{name}_{k}") for k in ranged for name, f in (("least", F.min), ("largest", F.max))])
+    for key in ranged:
+        dem = dem.where(F.col(key).between(bounds.select(f"least_{key}").scalar(), bounds.select(f"largest_{key}").scalar()))
+    return dem
+
+
 def drop_geometry(plots: DataFrame, easting: str = "Easting", northing: str = "Northing") -> DataFrame:
     return plots.drop(easting, northing)
 

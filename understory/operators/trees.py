@@ -28,10 +28,14 @@ CELL_MEASURES = (
 
 def measure_trees(trees: DataFrame, profile: Profile) -> DataFrame:
     """Trees at or above the minimum size, with group, units and size class."""
+    return describe_trees(trees.where(F.col("dbh_cm") >= fv.MIN_DBH_CM), profile)
+
+
+def describe_trees(trees: DataFrame, profile: Profile) -> DataFrame:
+    """Trees of any size, with group, units and size class."""
     dbh_in = F.col("dbh_cm") / fv.CM_PER_INCH
     return (
-        trees.where(F.col("dbh_cm") >= fv.MIN_DBH_CM)
-        .withColumn("species_code", F.upper("species_code"))
+        trees.withColumn("species_code", F.upper("species_code"))
         .withColumn("species_group", species_group(F.col("species_code"), profile.species_codes))
         .withColumn("dbh_in", dbh_in)
         .withColumn("ba_ft", basal_area_sqft(F.col("dbh_cm")))
@@ -41,9 +45,13 @@ def measure_trees(trees: DataFrame, profile: Profile) -> DataFrame:
 
 def sum_trees(measured: DataFrame, by: Sequence[str | Column], profile: Profile) -> DataFrame:
     """Additive sums by group, combined on the map side before the shuffle."""
+    return measured.groupBy(*by).agg(*_sums(profile))
+
+
+def _sums(profile: Profile) -> list[Column]:
     live, dead = F.col("status") == "L", F.col("status") == "D"
     large = F.col("dbh_cm") > profile.gt10in_cm
-    return measured.groupBy(*by).agg(
+    return [
         count_true(live).alias("n_live_gt10cm"),
         count_true(large & live).alias("n_live_gt10in"),
         count_true(large & dead).alias("n_dead_gt10in"),
@@ -51,6 +59,24 @@ def sum_trees(measured: DataFrame, by: Sequence[str | Column], profile: Profile)
         zero_sum(F.when(live, F.col("ba_ft"))).alias("ba_live_ft"),
         zero_sum(F.when(dead, F.col("ba_ft"))).alias("ba_dead_ft"),
         zero_sum(F.when(live, F.col("dbh_in") * F.col("dbh_in"))).alias("dbh2_live"),
+    ]
+
+
+def take_census(trees: DataFrame, profile: Profile) -> DataFrame:
+    """Sums of the measured trees and counts of all trees, from one pass over them.
+
+    A row stands for the trees of a plot, a species code and a size class that are measured, or are
+    not (``measured``): :func:`roll_up` of the measured ones gives what :func:`sum_trees` gives.
+    ``n_trees`` counts rows of any size, also without a diameter, ``n_oversize`` those too large for the last class.
+    Counts are part of the table, so a task that runs twice counts once.
+    """
+    measured = F.coalesce(F.col("dbh_cm") >= fv.MIN_DBH_CM, F.lit(False))
+    described = describe_trees(trees, profile).withColumn("measured", measured)
+    described = described.withColumn("size_class", F.when(F.col("measured"), F.col("size_class")))
+    return described.groupBy(*profile.keys, "species_code", *SPECIES_SIZE, "measured").agg(
+        *_sums(profile),
+        F.count(F.lit(1)).alias("n_trees"),
+        count_true(F.col("dbh_in") > fv.SIZE_CLASS_UPPER_IN[-1]).alias("n_oversize"),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from understory import fixed_values as fv
 from understory.functions import zero_sum
-from understory.operators import corrections, dimension, duplicates, figures, fuels, strata, trees
+from understory.operators import checks, corrections, dimension, duplicates, figures, fuels, strata, trees
 from understory.operators.densify import nest_cells, unnest_cells
 from understory.operators.density import violin_density
 from understory.operators.dimension import PAIRED_FLAG
@@ -54,6 +54,7 @@ class Inventory:
         self._dem = dem
         self._cell = cell or grid_cell(0.0, 0.0, 30.0)
         self._stored = False  # whether shared tables have been written by materialize()
+        self._census: DataFrame | None = None  # counts of all trees, where materialize() stored them
 
     def _recoded(self, name: str) -> DataFrame:
         return corrections.recode_plot_ids(self._raw[name], self.profile.corrections.recodes)
@@ -367,16 +368,30 @@ class Inventory:
 
     # --- running all of it ---------------------------------------------------
 
-    def materialize(self, store: Callable[[DataFrame], DataFrame] = cut_lineage) -> Inventory:
+    @cached_property
+    def run_checks(self) -> DataFrame:
+        """What :func:`checks.census_report` finds in this run. Checks that compare single trees are not in it."""
+        if self._census is None:
+            raise ValueError("run materialize(with_checks=True) first")
+        return checks.census_report(self._census, self.dimension, self.keys)
+
+    def materialize(
+        self, store: Callable[[DataFrame], DataFrame] = cut_lineage, with_checks: bool = False
+    ) -> Inventory:
         """Store what several tables share, so the trees are scanned once.
 
         Call it before asking for many tables of one run. ``store`` writes a
-        frame to shared storage and returns the stored copy.
+        frame to shared storage and returns the stored copy. ``with_checks`` keeps counts
+        of all trees beside the sums, and :attr:`run_checks` is then read from them.
         """
         self.dimension = store(self.dimension)
         self._stored = True
         by = [*self.keys, *SPECIES_SIZE]
-        sums = store(self.tree_sums(by))
+        if with_checks:
+            self._census = store(trees.take_census(self._corrected_trees(True), self.profile))
+            sums = store(trees.roll_up(self._census.where("measured"), by))
+        else:
+            sums = store(self.tree_sums(by))
         cells = {
             "_size_nested": (SPECIES_SIZE, sums),
             "_species_nested": (SPECIES, trees.roll_up(sums, [*self.keys, *SPECIES])),
