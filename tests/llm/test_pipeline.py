@@ -115,4 +115,4 @@ def test_registered(spark):
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     numbers = sorted(int(q[2:].split("_")[0]) for q in __spark_entry__.queries() if q.startswith("op") and q[2].isdigit())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
