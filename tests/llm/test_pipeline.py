@@ -72,6 +72,8 @@ def test_secrets_are_gone(steps):
 def test_rates(steps):
     _, before, after = steps[4]
     assert ids(after) == ids(before) and after.where("rate < 0 or rate is null").isEmpty()
+    texts = [sorted(map(repr, f.select("doc_id", "text").collect())) for f in (before, after)]
+    assert texts[0] == texts[1]
 
 
 def test_run_is_the_stages(spark, steps):
@@ -91,12 +93,17 @@ def test_odd_rows_pass(spark, tmp_path):
             docs = spark.read.parquet(path)
             assert docs.columns == frame.columns
         last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-        assert last.count() == docs.count()
+        assert sorted(map(repr, last.select("doc_id", "text").collect())) == sorted(map(repr, docs.select("doc_id", "text").collect()))
         if not docs.isEmpty():
             left = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr)
             assert left == sorted([(1, None), (2, ""), (None, long), (3, long), (5, "[secret]"), (None, None)], key=repr)
 
 
+def test_secrets_without_a_length_column(spark):
+    docs = spark.createDataFrame([(1, "token: abcdefgh", "x"), (2, None, "y")], "doc_id long, text string, lang string")
+    assert sorted(map(tuple, corpus_pipeline.redact(spark, docs, SF).collect())) == [(1, "[secret]", "x"), (2, None, "y")]
+
+
 def test_mostly_toxic_labels(spark, tmp_path):
     """Rows without a word stay whatever the labelled share, and all rows do where nothing could be learned."""
     blank = [(9001, None), (9002, ""), (9003, " \n\u00a0"), (None, None)]

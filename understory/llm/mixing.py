@@ -8,6 +8,8 @@ sum of rate x tokens x chance, match the targets in the least-squares sense.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
@@ -51,10 +53,11 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> LogisticRegressionModel |
     ).fit(rows)
 
 
-def domain_chances(docs: DataFrame, model: LogisticRegressionModel | None) -> DataFrame:
-    """doc_id, n_tokens and p_<domain> columns; without a model all domains are alike."""
-    keep = ["doc_id", F.size("_words").cast("long").alias("n_tokens")]
-    words = docs.select("doc_id", _words("text"))
+def domain_chances(docs: DataFrame, model: LogisticRegressionModel | None, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns ``carry``, n_tokens and p_<domain> columns; without a model all domains are alike."""
+    carried = F.struct(F.lit(True).alias("_there"), *carry).alias("_carried")
+    keep = ["doc_id", *[F.col(f"_carried.{c}").alias(c) for c in carry], F.size("_words").cast("long").alias("n_tokens")]
+    words = docs.select("doc_id", carried, _words("text"))
     if model is None:
         even = [F.lit(1.0 / len(DOMAINS)).alias(f"p_{d}") for d in DOMAINS]
         return words.select(*keep, *even)
@@ -112,9 +115,11 @@ def fit_rates(docs: DataFrame, targets: dict[str, float], tokens: str = "n_token
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None,
-                   total_tokens: float | None = None) -> DataFrame:
+                   total_tokens: float | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, n_tokens, p_<domain>..., rate), one row for every row of ``docs``.
 
+    Columns named in ``carry`` stand after the doc_id, so a row without an id, or with one of several rows, keeps its
+    text; a carried column may not have a name of the result.
     ``n_tokens`` counts runs of other than white space; null and empty texts have
     none and keep the rate 1. The targets are ``shares`` of ``total_tokens`` (by
     default the corpus's own total). A rate says how often a document is to be used
@@ -124,7 +129,10 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, shares: dict[str, float]
     """
     shares = shares or TARGETS
     model = fit_domains(docs, labels)
-    rows = cut_lineage(domain_chances(docs, model))
+    taken = {"doc_id", "n_tokens", "rate", *[f"p_{d}" for d in DOMAINS]} & set(carry)
+    if taken:
+        raise ValueError(f"names of the result: {sorted(taken)}")
+    rows = cut_lineage(domain_chances(docs, model, carry))
     total = total_tokens or rows.agg(F.sum("n_tokens")).first()[0] or 0
     rate, _ = fit_rates(rows, {d: s * total for d, s in shares.items()})
     return rows.withColumn("rate", rate)
