@@ -50,16 +50,18 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; secrets in their texts are replaced by a mark, and n_chars follows."""
+    """All documents; secrets in their texts are replaced by a mark, and n_chars, where there is one, follows."""
     clean = docs.select(*docs.columns, redact_secrets(F.col("text")).alias("__clean"))
     changed = ~F.col("__clean").eqNullSafe(F.col("text"))
-    return clean.withColumn("n_chars", F.when(changed, F.length("__clean")).otherwise(F.col("n_chars")).cast("long")).select(
-        *[F.col("__clean").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    new = {"text": F.col("__clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("__clean")).otherwise(F.col("n_chars")).cast("long")
+    return clean.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """For each document its tokens, its chances of belonging to each domain, and the rate it is to be used at."""
-    return mix_to_targets(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """For each document its text, tokens, chances of belonging to each domain, and the rate it is to be used at."""
+    return mix_to_targets(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=["text"])
 
 
 STAGES: list[tuple[str, Stage]] = [
