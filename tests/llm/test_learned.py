@@ -1,6 +1,7 @@
 """Toxicity by held-out accuracy; mixing against a plain solver."""
 
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -117,3 +118,40 @@ def test_rates_against_a_plain_solver(spark):
         for _ in range(60_000):
             r = np.maximum(0, r - plain * a.T @ (a @ r - 1))
         assert np.linalg.norm(a @ rates - 1) <= np.linalg.norm(a @ r - 1) + 1e-3
+
+
+def stages_of(spark, work):
+    """(what ``work`` returns, the number of stages of each of its jobs)."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    return out, [len(tracker.getJobInfo(job).stageIds) for job in tracker.getJobIdsForGroup(group)]
+
+
+def test_a_step_of_the_rates_is_one_stage(spark):
+    """Steps are many, and what the driver plans and keeps grows with their stages; a null chance counts as none."""
+    frame = spark.range(0, 400, 1, 4).selectExpr(
+        "id % 90 + 1 as n_tokens", "if(id % 7 = 0, null, 0.9D) as p_a", "0.1D + (id % 5) / 100D as p_b")
+    (rate, totals), stages = stages_of(spark, lambda: mixing.fit_rates(frame, {"a": 10.0, "b": 90_000.0}))
+    assert len(stages) > 6 and sum(n > 1 for n in stages) <= 1
+    rows = frame.withColumn("rate", rate).collect()
+    assert all(r["rate"] >= 0 for r in rows)
+    for name, total in zip("ab", totals, strict=True):
+        assert sum(r["n_tokens"] * (r[f"p_{name}"] or 0) * r["rate"] for r in rows) == pytest.approx(total, rel=1e-9)
+
+
+def test_a_pass_over_the_sample_has_few_stages(spark):
+    docs = spark.range(0, 600, 1, 24).selectExpr("id as doc_id", "concat('w', id % 3, ' v', id % 11, ' x', id) as text")
+    labels = spark.range(600).selectExpr("id as doc_id", "int(id % 2) as quality", "int(id % 3 = 0) as toxic")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        model, stages = stages_of(spark, lambda: mixing.fit_domains(docs, labels))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert model.numClasses == 4 and max(stages[-5:]) <= 2

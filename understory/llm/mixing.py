@@ -8,9 +8,10 @@ sum of rate x tokens x chance, match the targets in the least-squares sense.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -24,6 +25,7 @@ DOMAINS = ("low", "low_toxic", "good", "good_toxic")
 TARGETS = {"low": 0.10, "low_toxic": 0.01, "good": 0.88, "good_toxic": 0.01}  # shares of the mixed tokens
 FEATURES = 1 << 15
 SAMPLE_ROWS = 20_000  # labelled documents the classifier is fitted on, at most, by the order of a hash
+FIT_TASKS = 4  # the sample is bounded, and so are the tasks of a pass over it: their sums meet in one stage
 REGULARIZATION = 1e-3
 STEPS = 30
 TOLERANCE = 1e-4  # of the targets, at which steps end
@@ -50,7 +52,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame) -> LogisticRegressionModel |
     return LogisticRegression(
         featuresCol="_vector", labelCol="_label", family="multinomial", maxIter=20, regParam=REGULARIZATION,
         standardization=False, probabilityCol="_chances",
-    ).fit(rows)
+    ).fit(rows.coalesce(FIT_TASKS))
 
 
 def domain_chances(docs: DataFrame, model: LogisticRegressionModel | None, carry: Sequence[str] = ()) -> DataFrame:
@@ -68,12 +70,39 @@ def domain_chances(docs: DataFrame, model: LogisticRegressionModel | None, carry
     return model.transform(rows).select(*keep, *picked)
 
 
+def _rates(shares: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+    """The rates of rows of ``shares`` after the steps; the same operations in the same order as ``_rate``."""
+    rate = np.ones(len(shares))
+    for step in slopes:
+        slope = np.zeros(len(shares))
+        for k, s in enumerate(step):
+            slope += s * shares[:, k]
+        rate = np.maximum(0.0, rate - slope)
+    return rate
+
+
+def _rate(shares: list[Column], slopes: list[list[float]]) -> Column:
+    """One and then, step by step, less the gradient and not below zero."""
+    if not slopes:
+        return F.lit(1.0)
+    moves = F.lit(np.array(slopes).ravel().tolist())
+    vector = F.array(*shares)
+
+    def move(r: Column, i: Column) -> Column:
+        slope = sum((F.element_at(moves, i * len(shares) + k + 1) * vector[k] for k in range(len(shares))), F.lit(0.0))
+        return F.greatest(F.lit(0.0), r - slope)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(slopes) - 1)), F.lit(1.0), move)
+
+
 def fit_rates(docs: DataFrame, targets: dict[str, float], tokens: str = "n_tokens") -> tuple[Column, np.ndarray]:
     """(the rate as a column over ``docs``, the totals it reaches).
 
-    ``docs`` has ``tokens`` and p_<domain>; it is scanned once a step for as many sums
-    as there are domains, and nothing else leaves the executors. A document's rate
-    after any step follows from the slopes of the steps so far, so no rate is stored.
+    ``docs`` has ``tokens`` and p_<domain>, where null counts as none; it is scanned once a
+    step, each task returns one row of sums by domain and by pair of domains, and nothing
+    else leaves the executors. A document's rate after any step follows from the slopes of
+    the steps so far, so no rate is stored. A step is one stage without a shuffle or a
+    compiled plan of its own: there are many, and the driver keeps what it plans.
     The totals are divided by their targets, so a small domain counts like a large one,
     and residuals are measured in the metric of the documents whose rates can move, in
     which a unit step is the longest safe one; targets that rates can reach are reached
@@ -81,37 +110,39 @@ def fit_rates(docs: DataFrame, targets: dict[str, float], tokens: str = "n_token
     """
     names = [d for d in targets if targets[d] > 0]
     goal = np.array([targets[d] for d in names], float)
-    share = [F.col(tokens) * F.col(f"p_{d}") / F.lit(float(targets[d])) for d in names]
+    none = F.lit(0.0)
+    share = [F.coalesce(F.col(tokens) * F.col(f"p_{d}") / F.lit(float(targets[d])), none) for d in names]
     scale = docs.agg(F.max(F.col(tokens)).cast("double")).first()[0] or 0.0
     if not names or scale <= 0:
         return F.lit(1.0), np.zeros(len(names))
-    slopes: list[list[float]] = []  # of each step, by domain
-
-    def rate() -> Column:
-        """One and then, step by step, less the gradient and not below zero."""
-        if not slopes:
-            return F.lit(1.0)
-        moves = F.lit(np.array(slopes).ravel().tolist())
-        vector = F.array(*share)
-
-        def move(r: Column, i: Column) -> Column:
-            slope = sum((F.element_at(moves, i * len(names) + k + 1) * vector[k] for k in range(len(names))), F.lit(0.0))
-            return F.greatest(F.lit(0.0), r - slope)
+    n = len(names)
+    shares = docs.select([x.alias(f"_{k}") for k, x in enumerate(share)])
+
+    def sums_after(slopes: np.ndarray):
+        def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = np.zeros(n + n * n)
+            for batch in batches:
+                x = batch.to_numpy(float)
+                rate = _rates(x, slopes)
+                found[:n] += rate @ x
+                moving = x[rate > 0]
+                found[n:] += (moving.T @ moving).ravel()
+            yield pd.DataFrame({"sums": [found]})
+
+        return of_task
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(len(slopes) - 1)), F.lit(1.0), move)
-
-    moving = F.when(F.col("_rate") > 0, 1.0).otherwise(0.0)
-    sums = [F.sum(F.col("_rate") * x) for x in share] + [F.sum(moving * x * y) for x in share for y in share]
+    slopes: list[list[float]] = []  # of each step, by domain
     for step in range(STEPS + 1):
-        found = np.nan_to_num(np.array(docs.withColumn("_rate", rate()).agg(*sums).first(), float))
-        totals, gram = found[:len(names)], found[len(names):].reshape(len(names), -1)
+        parts = shares.mapInPandas(sums_after(np.array(slopes).reshape(-1, n)), "sums array<double>").collect()
+        found = np.nan_to_num(np.array([r["sums"] for r in parts], float).reshape(-1, n + n * n).sum(axis=0))
+        totals, gram = found[:n], found[n:].reshape(n, n)
         residual = totals - 1.0
         if step == STEPS or np.abs(residual).max() <= TOLERANCE:
             break
         spread, axes = np.linalg.eigh(gram)
         metric = axes @ np.diag(1 / np.maximum(spread, max(spread[-1], 1e-300) * 1e-9)) @ axes.T
         slopes.append((metric @ residual).tolist())
-    return rate(), totals * goal
+    return _rate(share, slopes), totals * goal
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None,
