@@ -296,3 +296,24 @@ def test_join_by_frequency_is_a_join(spark, monkeypatch, hot):
     met = keys.join_by_frequency(frame, spark.createDataFrame(table, "k long, w long, n long"), "k", "n")
     assert sorted(tuple(r) for r in met.select("k", "v", "w").collect()) == sorted(
         (k, v, k * 10) for k, v in rows if k in (1, 2, 3))
+
+
+def test_join_by_frequency_broadcasts_only_what_it_must(spark, capsys):
+    """Keys all frequent, none, some, and no rows: the plain join's rows, with no broadcast that does nothing."""
+    from understory.llm.keys import HOT_KEYS, join_by_frequency
+    from understory.sources.shared import cut_lineage
+
+    rare = 2 * HOT_KEYS
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for keys, broadcasts in (("id % 5", 1), (f"id % {rare}", 0), (f"if(id % 3 = 0, -1, id % {rare})", 2), ("null", 0)):
+            rows = spark.range(2 * rare).selectExpr("id", f"cast({keys} as long) as k")
+            table = rows.where("k is not null").groupBy("k").count().selectExpr("k", "k * 10 as x", "count as n")
+            met = join_by_frequency(rows, cut_lineage(table), "k", "n")
+            assert met.columns == ["k", "id", "x"]
+            assert sorted(met.collect()) == sorted(rows.join(table.drop("n"), "k").collect())
+            capsys.readouterr()
+            join_by_frequency(rows, cut_lineage(table), "k", "n").explain()
+            assert capsys.readouterr().out.count("BroadcastExchange") == broadcasts
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
